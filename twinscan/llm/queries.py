@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding
+from . import chat, packing, sharding, token_files
 from .common import table
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in as few sequences of at most 4096 tokens as the search finds."""
+    return packing.pack(table(spark, sf_dir, "documents"), limit=4096)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` written as Re-Pair shards and read back."""
+    return token_files.read_shards(token_files.write_shards(table(spark, sf_dir, "documents"), end=2))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` in 8 shards of near equal bytes, equal texts together."""
     out = sharding.shard(table(spark, sf_dir, "documents"), bins=8)
@@ -39,7 +49,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_sharding": op8_sharding, "op10_chat_format": op10_chat_format}
+    return {"op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
