@@ -40,20 +40,45 @@ MAGIC = b"TWRPAIR1"
 _HEAD = struct.Struct("<8s6Q")
 
 
-def _chosen(rank: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Positions of pairs to replace: no two overlap, the lower rank wins; -1 is no candidate."""
-    n = len(rank)
-    same = np.zeros(n, bool)
-    same[1:] = (pair[1:] == pair[:-1]) & (rank[1:] >= 0)
-    # in a run of one symbol every second pair stays
-    at = np.arange(n)
-    begin = np.maximum.accumulate(np.where(same, 0, at))
-    rank = np.where((at - begin) % 2 == 1, -1, rank)
-    far = np.iinfo(np.int64).max
-    key = np.where(rank >= 0, rank, far)
-    left = np.concatenate(([far], key[:-1]))
-    right = np.concatenate((key[1:], [far]))
-    return np.flatnonzero((rank >= 0) & (key < left) & (key < right))
+_FAR = np.iinfo(np.int32).max
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _frequent(pair: np.ndarray, least: int) -> np.ndarray:
+    """Kinds of pairs that occur at least ``least`` times, the most frequent first."""
+    held = np.sort(pair)
+    at = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1], [True])))
+    count = np.diff(at)
+    often = np.flatnonzero(count >= least)
+    return held[at[often[np.argsort(-count[often], kind="stable")]]]
+
+
+def _ranks(pair: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Index in ``kinds`` of each pair, ``_FAR`` for others.
+
+    By a table of hashes; of kinds with the same hash the most frequent is found, the others wait
+    for a later round.
+    """
+    shift = np.uint64(64 - min(20, max(10, len(kinds).bit_length() + 3)))
+    table = np.zeros(1 << (64 - int(shift)), np.int32)
+    table[((kinds * _SPREAD) >> shift)[::-1]] = np.arange(len(kinds), dtype=np.int32)[::-1]
+    found = table[(pair * _SPREAD) >> shift]
+    return np.where(kinds[found] == pair, found, np.int32(_FAR))
+
+
+def _chosen(rank: np.ndarray) -> np.ndarray:
+    """Positions of pairs to replace: no two overlap, the lower rank wins."""
+    alike = (rank[1:] == rank[:-1]) & (rank[1:] != _FAR)
+    if alike.any():  # in a run of one symbol every second pair stays
+        at = np.flatnonzero(np.concatenate(([False], alike)))
+        begin = at[np.concatenate(([True], np.diff(at) > 1))] - 1
+        begin = begin[np.searchsorted(begin, at, "left") - 1]
+        rank = rank.copy()
+        rank[at[(at - begin) % 2 == 1]] = _FAR
+    best = rank != _FAR
+    best[1:] &= rank[1:] < rank[:-1]
+    best[:-1] &= rank[:-1] < rank[1:]
+    return np.flatnonzero(best)
 
 
 def compress(ids: np.ndarray, first: int, barrier: int, rounds: int = 6, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,30 +92,31 @@ def compress(ids: np.ndarray, first: int, barrier: int, rounds: int = 6, least:
         if len(sequence) < 2:
             break
         pair = (sequence[:-1] << np.uint64(32)) | sequence[1:]
-        whole = (sequence[:-1] != barrier) & (sequence[1:] != barrier)
-        kinds, back, count = np.unique(pair[whole], return_inverse=True, return_counts=True)
-        frequent = np.flatnonzero(count >= least)
-        if not len(frequent):
+        cut = np.flatnonzero(sequence == barrier)
+        pair[cut[cut < len(pair)]] = 0  # (0, 0) stands for no pair: it is never made a rule
+        pair[cut[cut > 0] - 1] = 0
+        kinds = _frequent(pair, least)
+        kinds = kinds[kinds != 0]
+        if not len(kinds):
             break
-        order = frequent[np.argsort(-count[frequent], kind="stable")]
-        rank_of = np.full(len(kinds), -1, np.int64)
-        rank_of[order] = np.arange(len(order))
-        rank = np.full(len(pair), -1, np.int64)
-        rank[whole] = rank_of[back]
-        at = _chosen(rank, pair)
-        used = np.bincount(rank[at], minlength=len(order))
+        rank = _ranks(pair, kinds)
+        at = _chosen(rank)
+        used = np.bincount(rank[at], minlength=len(kinds))
         at = at[used[rank[at]] >= least]
         if not len(at):
             break
         kept = np.flatnonzero(used >= least)
-        symbol = np.full(len(order), 0, np.uint64)
+        symbol = np.zeros(len(kinds), np.uint64)
         symbol[kept] = first + len(rules) + np.arange(len(kept), dtype=np.uint64)
-        made = kinds[order[kept]]
         sequence[at] = symbol[rank[at]]
-        sequence = np.delete(sequence, at + 1)
-        new = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1)
-        sizes = np.where(new >= first, lengths[np.where(new >= first, new - first, 0).astype(np.int64)] if len(lengths) else 1, 1).sum(1)
-        rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, sizes])
+        stays = np.ones(len(sequence), bool)
+        stays[at + 1] = False
+        sequence = sequence[stays]
+        new = np.stack([kinds[kept] >> np.uint64(32), kinds[kept] & np.uint64(0xFFFFFFFF)], 1)
+        ruled = new >= first
+        sizes = np.ones(new.shape, np.int64)
+        sizes[ruled] = lengths[(new[ruled] - first).astype(np.int64)]
+        rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, sizes.sum(1)])
     return sequence.astype("<u4"), rules.astype("<u4"), lengths.astype("<u4")
 
 
