@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, sharding, token_files
+from . import chat, labelled, packing, quality, sharding, token_files
 from .common import table
 
 
+def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        labelled.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all ``documents``, learned from ``labels.quality``."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.score(docs, model), 0.7)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in as few sequences of at most 4096 tokens as the search finds."""
     return packing.pack(table(spark, sf_dir, "documents"), limit=4096)
@@ -49,7 +65,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op10_chat_format": op10_chat_format}
+    return {"op1_quality": op1_quality, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
