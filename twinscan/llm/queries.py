@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, labelled, packing, quality, sharding, token_files
+from . import chat, labelled, packing, quality, sharding, token_files, toxicity
 from .common import table
 
 
@@ -27,6 +27,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model), 0.7)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all ``documents``, learned from ``labels.toxic``."""
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score(docs, net), 0.3)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in as few sequences of at most 4096 tokens as the search finds."""
     return packing.pack(table(spark, sf_dir, "documents"), limit=4096)
@@ -65,7 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op10_chat_format": op10_chat_format}
+    return {"op1_quality": op1_quality, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
