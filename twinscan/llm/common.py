@@ -101,10 +101,12 @@ def id_bounds(ids: DataFrame, column: str, rows_per_bucket: int) -> list[int]:
     return sorted({int(n[1]), *(int(x) for x in found)})
 
 
-def bucket_by(value: Column, bounds: list[int]) -> Column:
-    """Index of the last bound that is at most ``value``: binary search as an expression."""
+def bucket_by(value: Column, bounds: list[int], held: Column) -> Column:
+    """Index of the last bound that is at most ``value``: binary search as an expression.
+
+    held: the bounds as a constant array. A null or smaller value is in bucket 0.
+    """
     steps = [1 << i for i in reversed(range(max(1, len(bounds)).bit_length()))]
-    held = F.array(*[F.lit(x).cast("long") for x in bounds])
     last = len(bounds) - 1
     return F.aggregate(
         F.array(*[F.lit(x) for x in steps]),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, labelled, packing, quality, sharding, token_files, toxicity
+from . import chat, labelled, packing, quality, sharding, token_files, toxicity, winnowing
 from .common import table
 
 
@@ -27,6 +27,20 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model), 0.7)
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents``, of their edited texts and of the next documents."""
+    found = winnowing.edited(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        winnowing.digest(F.col("marks")).alias("fingerprint"),
+        winnowing.digest(F.col("edited_marks")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        winnowing.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all ``documents``, learned from ``labels.toxic``."""
     docs = table(spark, sf_dir, "documents")
@@ -72,7 +86,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op10_chat_format": op10_chat_format}
+    return {"op1_quality": op1_quality, "op3_winnowing": op3_winnowing, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
