@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, labelled, packing, quality, sharding, token_files, toxicity, winnowing
+from . import chat, jaccard, labelled, packing, quality, sharding, token_files, toxicity, winnowing
 from .common import table
 
 
@@ -72,6 +72,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of all ``documents``: five-word shingles, similarity 0.8."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), tenths=8)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` and conversation -1, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -86,7 +91,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_winnowing": op3_winnowing, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op10_chat_format": op10_chat_format}
+    return {"op1_quality": op1_quality, "op3_winnowing": op3_winnowing, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op9_jaccard": op9_jaccard, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
