@@ -37,6 +37,8 @@ from .common import bounded_batches, materialize
 from .tokens import default_path, tokenizer
 
 MAGIC = b"TWRPAIR1"
+#: Stands for a null key in a shard.
+NO_KEY = -(1 << 63)
 _HEAD = struct.Struct("<8s6Q")
 
 
@@ -197,7 +199,8 @@ class Shard:
 def write_shards(docs: DataFrame, path: str | None = None, end: int = 2, shard_ids: int = 1 << 20, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Tokenise whole texts in ascending key order and write them as shards of about ``shard_ids``.
 
-    A document is never divided; a null text counts as empty and holds the end id alone. Rows of one key are ordered by text. Returns the written table.
+    A document is never divided; a null text counts as empty and holds the end id alone. Rows of one key are ordered by text and stay
+    in one shard; rows without a key come first. Returns the written table.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -217,6 +220,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end: int = 2, shard_i
         size = 0
         for batch in batches:
             for k, ids in zip(batch.column(0).to_pylist(), tok.ids(batch.column(1).to_pylist()), strict=True):
+                k = NO_KEY if k is None else k
                 got = np.frombuffer(ids + stop, "<u4")
                 if held and (size + len(got) > shard_ids) and keys[-1] != k:
                     yield shard()
@@ -233,24 +237,28 @@ def write_shards(docs: DataFrame, path: str | None = None, end: int = 2, shard_i
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """Decode shards: ``doc_id, start, n_tokens, ids_crc32``; start counts over all shards."""
+    """Decode shards: ``doc_id, start, n_tokens, ids_crc32``; start counts over all shards.
+
+    Blobs are decoded where they are read; only the decoded rows meet the shards' first ids.
+    """
     before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("first_key", "ids").select("first_key", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+    starts = shards.select("first_key", "ids").select("first_key", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_first"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for first_key, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(blob.as_buffer())
                 raw, at = shard.all().astype("<u4").tobytes(), shard.id_at
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(shard.keys),
-                        pa.array(start + at[:-1]),
+                        pa.array(np.full(len(shard.keys), first_key, np.int64)),
+                        pa.array(shard.keys, mask=shard.keys == NO_KEY),
+                        pa.array(at[:-1]),
                         pa.array(np.diff(at)),
                         pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()),
                     ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    names=["first_key", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    joined = shards.select("first_key", "blob").join(starts, "first_key").select("start", "blob")
-    return joined.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    decoded = shards.select("first_key", "blob").mapInArrow(decode, "first_key long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return decoded.join(starts, "first_key").select("doc_id", (F.col("_first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
