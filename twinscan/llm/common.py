@@ -8,7 +8,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,3 +118,21 @@ def bucket_by(value: Column, bounds: list[int], held: Column) -> Column:
             (at + step <= last) & (F.get(held, at + step) <= value), at + step
         ).otherwise(at),
     )
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
+    """Runs of whole groups (equal ``column``) of sorted rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task = batch.column(column).to_numpy()
+        last = int(np.searchsorted(task, task[-1], "left")) if (task[1:] >= task[:-1]).all() else 0
+        if held and task[0] == task[-1] and held[-1].column(column)[-1].as_py() == task[0]:
+            held.append(batch)
+            continue
+        if held or last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, groups_of, materialize
 from .components import components
 from .wordgrid import Words, grams, mix, words
 
@@ -178,30 +178,12 @@ class _Union:
         return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
-    """Runs of whole groups (equal ``column``) of sorted rows."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        task = batch.column(column).to_numpy()
-        last = int(np.searchsorted(task, task[-1], "left")) if (task[1:] >= task[:-1]).all() else 0
-        if held and task[0] == task[-1] and held[-1].column(column)[-1].as_py() == task[0]:
-            held.append(batch)
-            continue
-        if held or last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-        held = [batch.slice(last)]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _candidates(leaves: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: links between sets of a leaf whose sketches are alike, a spanning forest at most."""
     low, least = similarity, int(T * (similarity - 0.3))  # six standard deviations below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 0):
+        for table in groups_of(batches, 0):
             if not table.num_rows:
                 continue
             task, side = table["task"].to_numpy(), table["side"].to_numpy()
@@ -273,7 +255,7 @@ def _verified(members: DataFrame, tenths: int) -> DataFrame:
     """Exact links within components: rows (a, b, links): an edge, or b null and a's link count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 0):
+        for table in groups_of(batches, 0):
             if not table.num_rows:
                 continue
             sets: list[np.ndarray] = []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, labelled, packing, quality, sharding, token_files, toxicity, winnowing
+from . import chat, covertree, jaccard, labelled, packing, quality, sharding, token_files, toxicity, winnowing
 from .common import table
 
 
@@ -27,6 +27,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model), 0.7)
 
 
+def op2_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all ``embeddings`` for every row whose vec_id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    return covertree.top_k(rows, F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all ``documents``, of their edited texts and of the next documents."""
     found = winnowing.edited(table(spark, sf_dir, "documents"))
@@ -91,8 +97,33 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_winnowing": op3_winnowing, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op9_jaccard": op9_jaccard, "op10_chat_format": op10_chat_format}
+    return {"op1_quality": op1_quality, "op2_covertree": op2_covertree, "op3_winnowing": op3_winnowing, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op9_jaccard": op9_jaccard, "op10_chat_format": op10_chat_format}
+
+
+#: DuckDB SQL of the operators that SQL can express.
+ORACLES = {
+    "op2_covertree": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), q AS (
+            SELECT vec_id AS query_id, unnest(e) AS x, unnest(range(len(e))) AS i FROM v WHERE vec_id % 100 = 0
+        ), c AS (
+            SELECT vec_id, unnest(e) AS y, unnest(range(len(e))) AS i FROM v
+        ), s AS (
+            SELECT query_id, vec_id, CAST(sum(x * y) AS BIGINT) AS score
+            FROM q JOIN c USING (i) WHERE query_id <> vec_id GROUP BY ALL
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM s
+        )
+        SELECT * FROM r WHERE rank <= 10
+    """,
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
