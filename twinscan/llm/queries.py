@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, jaccard, labelled, packing, quality, sharding, token_files, toxicity, winnowing
+from . import chat, covertree, jaccard, labelled, packing, pieces, quality, sharding, token_files, toxicity, winnowing
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, net), 0.3)
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of all ``documents`` and whether it decodes to the text."""
+    return pieces.encode(table(spark, sf_dir, "documents"), seed=1, with_ids=False)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in as few sequences of at most 4096 tokens as the search finds."""
     return packing.pack(table(spark, sf_dir, "documents"), limit=4096)
@@ -97,7 +102,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_covertree": op2_covertree, "op3_winnowing": op3_winnowing, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op9_jaccard": op9_jaccard, "op10_chat_format": op10_chat_format}
+    return {"op1_quality": op1_quality, "op2_covertree": op2_covertree, "op3_winnowing": op3_winnowing, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_sharding": op8_sharding, "op9_jaccard": op9_jaccard, "op10_chat_format": op10_chat_format}
 
 
 #: DuckDB SQL of the operators that SQL can express.
