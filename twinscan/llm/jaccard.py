@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, groups_of, materialize
@@ -305,7 +305,7 @@ def _verified(members: DataFrame, tenths: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, tenths: int = 8, recall: float = 0.9999, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, class_id, n_links, set_size`` for every row.
+    """``key, class_id, n_links, set_size, member_id`` for every row; member_id: see ``keep_one``.
 
     tenths: the least Jaccard similarity, in tenths. class_id: least key among the documents that
     links connect. n_links: other documents linked to this one, copies included. A null text counts
@@ -341,4 +341,20 @@ def near_duplicates(docs: DataFrame, tenths: int = 8, recall: float = 0.9999, ke
     )
     named = materialize(known.groupBy("component").agg(F.min("id").alias("class_id")), "class-names")
     known = materialize(known.join(named, "component").select("set_key", "class_id", "n_links"), "classes")
-    return described.select("key", "set_key", "size").join(known, "set_key").select(F.col("key").alias(key), "class_id", "n_links", F.col("size").alias("set_size"))
+    return described.select("key", "id", "set_key", "size").join(known, "set_key").select(
+        F.col("key").alias(key), "class_id", "n_links", F.col("size").alias("set_size"), F.col("id").alias("member_id")
+    )
+
+
+def keep_one(docs: DataFrame, tenths: int = 8, recall: float = 0.9999, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs``, one of each class of near duplicates: that of the least key.
+
+    A row without a key goes by a hash of its text (its member_id). Of rows that repeat a key and
+    would all stay, the one of the smallest text does.
+    """
+    found = near_duplicates(docs, tenths, recall, key, text)
+    stays = found.where("member_id = class_id").select(F.col("member_id").alias("_id")).distinct()
+    named = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    first = Window.partitionBy("_id").orderBy(F.col(text))
+    kept = named.join(stays, "_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    return kept.select(*docs.columns)

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import bounded_batches
+from .wordgrid import words
 
 
 def held_out(key: Column) -> Column:
@@ -30,7 +38,22 @@ def sample(labels: DataFrame, label: str, each: int, key: str = "doc_id") -> tup
     return kept, counts
 
 
-def one_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per key, for rows repeated under one key (the smallest text stays)."""
-    at = Window.partitionBy(key).orderBy(text)
-    return docs.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
+def with_scores(docs: DataFrame, model: object, name: str = "score", text: str = "text") -> DataFrame:
+    """All rows and columns of ``docs``, and each whole text's score; null counts as empty.
+
+    model: anything with ``scores(chunk)``, of bounded size, broadcast once. ``name`` must not be a
+    column of ``docs``.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    held = spark.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [held.value.scores(chunk) for chunk in words(batch.column(place))]
+            if got:
+                yield batch.append_column(name, pa.array(np.concatenate(got), pa.float64()))
+
+    return docs.mapInArrow(run, schema)

@@ -198,15 +198,4 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score`` of every row's whole text; a null text counts as empty."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # 8 MB, whatever the input
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [held.value.scores(chunk) for chunk in words(batch.column(1))]
-            if got:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got))], names=[key, "score"])
-
-    return docs.select(F.col(key), F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {kind}, score double")
+    return labelled.with_scores(docs.select(F.col(key), F.col(text).cast("string").alias("_text")), model, text="_text").select(key, "score")
