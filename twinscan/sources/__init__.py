@@ -1 +1 @@
-
+"""Scans, decoders and the fingerprint cache."""
