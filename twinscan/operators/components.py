@@ -12,30 +12,35 @@ def _star(pairs: DataFrame, keep: str) -> DataFrame:
     """Link neighbours of each u to the least of u and its neighbours.
 
     The minima are a written table, so both sides of the join are plain exchanges, and the
-    neighbours of a vertex with very many can be read by several tasks.
+    neighbours of a vertex with very many can be read by several tasks. The join is a merge at any
+    size, so that small and large inputs run alike.
     """
     least = materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-least")
-    return pairs.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return pairs.join(least.hint("merge"), "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every edge leads to a root: no vertex has two, and no root is below another."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        pairs.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    open_ = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)")
+    return open_.isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` for every vertex of an edge; component: its least vertex.
 
-    Each round is written to the shared folder. Rounds end when the edges no longer change.
+    Each round is written to the shared folder. Rounds end when all edges lead to roots.
     """
     pairs = materialize(edges.where(f"{a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc")
-    state = None
-    while True:
+    while not _settled(pairs):
         # large star: each neighbour above u goes to the least of u's neighbourhood
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialize(_star(both, "v > u").where("u != v").distinct(), "cc-large")
         # small star: u and its smaller neighbours go to the least of them
         small = _star(large, "true").unionByName(large.groupBy("u").agg(F.min("v").alias("v")))
         pairs = materialize(small.where("u != v").distinct(), "cc-small")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
