@@ -5,9 +5,6 @@ Everything here keeps its driver-side state bounded: paths, a few bounds, never
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,48 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_dir  # noqa: F401  for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader alone, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) a local folder is taken.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("twinscan.scratch.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="twinscan-")
-        spark.conf.set("twinscan.scratch.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is already gone; the folder is scratch
-        pass
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts lineage in a way that survives lost executors: later steps read a committed table.
-    The folder is removed when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinscan-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

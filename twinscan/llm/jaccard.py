@@ -16,7 +16,8 @@ sampled token, and two sets share it with a probability equal to their Jaccard s
 * All sets of a component are compared exactly, in blocks if there are many. Links are counted and
   joined into classes, never listed pair by pair.
 
-Nothing is capped: blocks only divide the work.
+Nothing is capped: blocks only divide the work. Joins are merges at any size, so that a small input
+is worked on as a large one is.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import bounded_batches, groups_of, materialize
-from .components import components
 from .wordgrid import Words, grams, mix, words
 
 WORDS_IN_SHINGLE = 5
 T, FAN, LEAF, BLOCK, DEEPEST = 64, 3, 256, 512, 12
+#: Bytes of text, and columns of a block's incidence matrix, that a worker handles at a time.
+CHUNK, COLUMNS = 1 << 18, 2048
 _FACTOR = mix(np.arange(T, dtype=np.uint64), 77) | np.uint64(1)
 
 
@@ -96,7 +99,7 @@ def _describe(docs: DataFrame, key: str, text: str, runs: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in words(batch.column(1)):
+            for chunk in words(batch.column(1), CHUNK):
                 gram, at = shingle_sets(chunk)
                 size = np.diff(at)
                 low = minhashes(gram, at)
@@ -128,7 +131,7 @@ def _buckets(sets: DataFrame) -> DataFrame:
     for depth in range(DEEPEST + 1):
         rows = materialize(rows, "paths")
         counts = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path-counts")
-        met = rows.join(counts, "node")
+        met = rows.join(counts.hint("merge"), "node")
         done = (F.col("n") <= LEAF) | (F.col("n") > 0.8 * F.coalesce("parent", F.col("n") * 2)) | F.lit(depth == DEEPEST)
         leaf = met.where(done).select("node", "n", "rep", "size", "sketch")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
@@ -243,9 +246,9 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     seat[shared] = np.arange(len(shared))
     at = seat[column]
     out = np.zeros((na, len(right)), np.float32)
-    for lo in range(0, len(shared), 8192):
-        inside = (at >= lo) & (at < lo + 8192)
-        dense = np.zeros((len(size), min(8192, len(shared) - lo)), np.float32)
+    for lo in range(0, len(shared), COLUMNS):
+        inside = (at >= lo) & (at < lo + COLUMNS)
+        dense = np.zeros((len(size), min(COLUMNS, len(shared) - lo)), np.float32)
         dense[row[inside], at[inside] - lo] = 1
         out += dense[:na] @ dense[na:].T
     return np.rint(out).astype(np.int64)
@@ -260,7 +263,7 @@ def _verified(members: DataFrame, tenths: int) -> DataFrame:
                 continue
             sets: list[np.ndarray] = []
             found: list[np.ndarray] = []
-            for chunk in words(table["text"].combine_chunks()):
+            for chunk in words(table["text"].combine_chunks(), CHUNK):
                 gram, at = shingle_sets(chunk)
                 sets += np.split(gram, at[1:-1])
                 found.append(set_keys(gram, at))
@@ -328,20 +331,20 @@ def near_duplicates(docs: DataFrame, tenths: int = 8, recall: float = 0.9999, ke
     )
     candidate = materialize(components(_candidates(_buckets(sets), similarity)).withColumnRenamed("id", "rep"), "candidates")
     sizes = materialize(candidate.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "candidate-sizes")
-    members = materialize(candidate.join(sizes, "component").join(sets.select("rep", "id", "copies", "set_key"), "rep"), "members")
-    checked = materialize(_verified(_named(docs, key, text).select("id", "text").join(members, "id"), tenths), "links")
+    members = materialize(candidate.join(sizes.hint("merge"), "component").join(sets.select("rep", "id", "copies", "set_key").hint("merge"), "rep"), "members")
+    checked = materialize(_verified(_named(docs, key, text).select("id", "text").join(members.hint("merge"), "id"), tenths), "links")
     links = checked.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(checked.where("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
     known = materialize(
         sets.select("set_key", "rep", "id", "copies")
-        .join(links, "rep", "left")
-        .join(classes, "rep", "left")
+        .join(links.hint("merge"), "rep", "left")
+        .join(classes.hint("merge"), "rep", "left")
         .select("set_key", "id", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "known",
     )
     named = materialize(known.groupBy("component").agg(F.min("id").alias("class_id")), "class-names")
-    known = materialize(known.join(named, "component").select("set_key", "class_id", "n_links"), "classes")
-    return described.select("key", "id", "set_key", "size").join(known, "set_key").select(
+    known = materialize(known.join(named.hint("merge"), "component").select("set_key", "class_id", "n_links"), "classes")
+    return described.select("key", "id", "set_key", "size").join(known.hint("merge"), "set_key").select(
         F.col("key").alias(key), "class_id", "n_links", F.col("size").alias("set_size"), F.col("id").alias("member_id")
     )
 
@@ -356,5 +359,5 @@ def keep_one(docs: DataFrame, tenths: int = 8, recall: float = 0.9999, key: str
     stays = found.where("member_id = class_id").select(F.col("member_id").alias("_id")).distinct()
     named = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))))
     first = Window.partitionBy("_id").orderBy(F.col(text))
-    kept = named.join(stays, "_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    kept = named.join(stays.hint("merge"), "_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
     return kept.select(*docs.columns)

@@ -259,7 +259,7 @@ def fit(texts: list[bytes | str], labels: list[int], counts: dict[int, int], rou
         who, row = both >> 20, both & ((1 << 20) - 1)
         use = learn[who]
         n = [np.bincount(row[use & (y[who] == v)], minlength=1 << 20) for v in (0, 1)]
-        ratio = np.log((n[1] + 0.5) / (y[learn] == 1).sum()) - np.log((n[0] + 0.5) / (y[learn] == 0).sum())
+        ratio = np.log((n[1] + 0.5) / max(1, (y[learn] == 1).sum())) - np.log((n[0] + 0.5) / max(1, (y[learn] == 0).sum()))
         ratio *= (n[0] + n[1]) >= 3
         strength = np.maximum(strength, ratio[rows])
     grid = np.minimum(first[:, None] + np.arange(WINDOW), (first + length - 1)[:, None])
