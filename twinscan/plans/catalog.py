@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashes as H
@@ -190,15 +190,8 @@ def _peaks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).alias("id"), word).select("id", (F.ascii("w") * 100 + F.length("w")).cast("int").alias("f"), "t")
 
 
-def _word_peaks(text: str = "text") -> Column:
-    """A text's peaks as one array, in order."""
-    return F.transform(F.split(text, " ", -1), lambda w, t: F.struct((F.ascii(w) * 100 + F.length(w)).cast("int").alias("f"), t.alias("t")))
-
-
 def _folded(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Folded hashes; a document's peaks are in one row, so no window is needed."""
-    hashed = docs.where(F.col("text").isNotNull()).select(F.col(key).alias("id"), F.explode(peaks.constellation_of(_word_peaks())).alias("hash"))
-    return peaks.fold(hashed).withColumn("ord", F.col("id"))
+    return peaks.fold(peaks.constellation(_peaks(docs, key))).withColumn("ord", F.col("id"))
 
 
 @query(f"WITH {_PEAKS} SELECT id, count(*) AS n, CAST(sum(f) AS BIGINT) AS sum_f, max(t) AS last_t, CAST(sum(f * (t % 97)) AS BIGINT) AS check_ft FROM peaks GROUP BY id")

@@ -13,9 +13,9 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def _first(root: ElementTree.Element, name: str, **match: str) -> ElementTree.Element | None:
+def _first(root: ElementTree.Element, tag: str, **match: str) -> ElementTree.Element | None:
     for e in root.iter():
-        if _local(e.tag) == name and all((e.get(k) or "").lower() == v.lower() for k, v in match.items()):
+        if _local(e.tag) == tag and all((e.get(k) or "").lower() == v.lower() for k, v in match.items()):
             return e
     return None
 
