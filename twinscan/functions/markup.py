@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What may stand before a book number in an identifier.
-ISBN_PREFIXES = ("ISBN", "ISBN-10", "ISBN-13", "urn:isbn:", "isbn", "eISBN", "e-ISBN")
+# What stands before a book's number in an identifier; it ends at a closing bracket.
+IDENTIFIER_PREFIXES = (
+    "Unspecified (uid:",
+    "Unspecified (epubmerge-id:",
+    "Unspecified (BookId:",
+    "URN (BookId:",
+    ":urn:uuid:",
+    "duokan-book-id:",
+    "duokan-book-id (uuid_id:",
+    "MOBI-ASIN (Unspecified:",
+    "calibre (Unspecified:",
+    "ISBN (Unspecified:",
+    "ISBN (uid:",
+    "uuid (uuid_id:",
+    "UUID (BookId:",
+)
 
 
 def attribute(markup: Column, tag: str, name: str) -> Column:
@@ -29,7 +45,11 @@ def cover_id(meta: Column) -> Column:
     return F.regexp_replace(value, "^[^0-9A-Za-z]+", "")
 
 
+def identifier_pattern() -> str:
+    names = "|".join(re.sub(r"([():])", r"[\1]", p) for p in IDENTIFIER_PREFIXES)
+    return f"(?:{names})([^)]*)"
+
+
 def isbn(text: Column) -> Column:
-    """The book number behind a known prefix, up to a closing bracket or space; empty if none."""
-    names = "|".join(ISBN_PREFIXES)
-    return F.regexp_extract(text, rf"(?:{names})[:\s]*([0-9][0-9Xx-]{{8,16}})", 1)
+    """A book's number behind a known prefix, up to a closing bracket; empty if none."""
+    return F.regexp_extract(text, identifier_pattern(), 1)

@@ -65,42 +65,43 @@ class Settings:
         return getattr(self, f"proc_{kind}")
 
 
+# Names of the keys in the file, group "_".
 _FLAGS = ("proc_image", "proc_video", "proc_audio", "proc_ebook")
-_LISTS = ("image_suffixes", "video_suffixes", "audio_suffixes", "ebook_suffixes", "directories")
-_RATES = ("image", "video", "audio")
-_NUMBERS = ("area", "ratio_mode", "frames")
+_RATES = {"same_image_rate": "image_distance", "same_video_rate": "video_distance", "same_audio_rate": "audio_distance"}
+_NUMBERS = {"compare_area": "area", "filter_time_rate": "ratio_mode", "compare_count": "frames"}
+_LISTS = {"image_ext": "image_suffixes", "video_ext": "video_suffixes", "audio_ext": "audio_suffixes", "ebook_ext": "ebook_suffixes"}
+_DIRECTORIES = "directories"
 
 
 def load(path: str, base: Settings | None = None) -> Settings:
-    """Settings from a key file, group ``_``; what it lacks keeps the default, a missing file all."""
-    parser = configparser.ConfigParser()
+    """Settings from a key file; what it lacks keeps the default, a missing file all.
+
+    Suffixes are divided by commas, folders by semicolons. A key for a number of threads is
+    ignored: Spark's tasks take its place.
+    """
+    parser = configparser.ConfigParser(interpolation=None)
     parser.read(path)
     found = base or Settings()
     if not parser.has_section("_"):
         return found
-    group, change = parser["_"], {}
-    for name in _FLAGS:
-        if name in group:
-            change[name] = group.getboolean(name)
-    for name in _LISTS:
-        if name in group:
-            change[name] = tuple(x for x in group[name].split(";") if x)
-    for name in _NUMBERS:
-        if name in group:
-            change[name] = group.getint(name)
-    for kind in _RATES:
-        if f"same_{kind}_rate" in group:
-            change[f"{kind}_distance"] = 10 - group.getint(f"same_{kind}_rate")
+    group = parser["_"]
+    change: dict = {n: group.getboolean(n) for n in _FLAGS if n in group}
+    change |= {field: tuple(x for x in group[n].split(",") if x) for n, field in _LISTS.items() if n in group}
+    change |= {field: group.getint(n) for n, field in _NUMBERS.items() if n in group}
+    change |= {field: 10 - group.getint(n) for n, field in _RATES.items() if n in group}
+    if _DIRECTORIES in group:
+        change["directories"] = tuple(x for x in group[_DIRECTORIES].split(";") if x)
     return replace(found, **change)
 
 
 def save(settings: Settings, path: str) -> None:
-    parser = configparser.ConfigParser()
+    parser = configparser.ConfigParser(interpolation=None)
     parser["_"] = (
         {n: str(getattr(settings, n)).lower() for n in _FLAGS}
-        | {n: ";".join(getattr(settings, n)) for n in _LISTS}
-        | {n: str(getattr(settings, n)) for n in _NUMBERS}
-        | {f"same_{k}_rate": str(10 - getattr(settings, f"{k}_distance")) for k in _RATES}
+        | {n: ",".join(getattr(settings, field)) for n, field in _LISTS.items()}
+        | {n: str(getattr(settings, field)) for n, field in _NUMBERS.items()}
+        | {n: str(10 - getattr(settings, field)) for n, field in _RATES.items()}
+        | {_DIRECTORIES: ";".join(settings.directories)}
     )
     with open(path, "w") as out:
         parser.write(out)
