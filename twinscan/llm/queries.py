@@ -127,6 +127,41 @@ ORACLES = {
         )
         SELECT * FROM r WHERE rank <= 10
     """,
+    "op9_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id
+        ), p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)
+            UNION ALL SELECT x.doc_id, y.doc_id FROM n x JOIN n y ON x.n = 0 AND y.n = 0 AND x.doc_id <> y.doc_id
+        ), r(id, root) AS (
+            SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id
+        ), d AS (
+            SELECT a AS doc_id, count(*) AS k FROM l GROUP BY a
+        )
+        SELECT n.doc_id, min(r.root) AS class_id, coalesce(any_value(d.k), 0) AS n_links, any_value(n.n) AS set_size, n.doc_id AS member_id
+        FROM n JOIN r ON r.id = n.doc_id LEFT JOIN d ON d.doc_id = n.doc_id GROUP BY n.doc_id
+    """,
+    "op10_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), m AS (
+            SELECT *, len(regexp_extract_all(text, '\[/?INST\]|</?s>|<</?SYS>>|\[/?ROLE\]|\[:\]')) AS k,
+                CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 16 + length(role) END AS frame FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(frame + length(text) + k) AS BIGINT) AS formatted_chars, sum(k) > 0 AS escaped, true AS round_trip
+        FROM m GROUP BY conv_id
+    """,
 }
 
 
