@@ -21,7 +21,7 @@ QUERIES = [
     "head_tail_pairs",
     "duration_bands",
     "constellation",
-    "audio_pairs",
+    "peak_need",
     "dup_components",
     "select_small_file",
     "delete_plan",
