@@ -105,6 +105,40 @@ def test_windows_cover_every_word():
         assert seen == set(range(n))
 
 
+def test_every_window_start_is_scored():
+    sizes = [0, 1, toxicity.WINDOW - 1, toxicity.WINDOW, toxicity.WINDOW + 1, 3, 70]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    first, length, text = toxicity.windows(at)
+    want = [(at[i] + k, min(n, toxicity.WINDOW), i) for i, n in enumerate(sizes) for k in range(max(n - toxicity.WINDOW + 1, min(n, 1)))]
+    assert list(zip(first, length, text, strict=True)) == want
+
+
+def test_texts_score_as_their_worst_window(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"wort{i}" for i in range(50)], n)) for n in (0, 100, 24, 1, 23, 25, 61)]
+    [chunk] = list(words(pa.array(texts)))
+    net = toxicity.Network.new(1)
+    net.p["word"] = rng.normal(0, 0.5, net.p["word"].shape).astype(np.float32)
+    lex, index = toxicity.lexicon(chunk)
+    got = net.logits(chunk)
+    for i, (a, b) in enumerate(zip(chunk.at, chunk.at[1:])):
+        starts = np.arange(a, max(b - toxicity.WINDOW, a) + 1)
+        size = np.full(len(starts), min(b - a, toxicity.WINDOW))
+        want = net.forward(net.embed(lex), toxicity._seats(starts, size, index), size).max() if b > a else np.nan
+        assert got[i] == pytest.approx(want, abs=1e-5, nan_ok=True)
+
+
+def test_a_passage_counts_wherever_it_starts():
+    rng = np.random.default_rng(7)
+    passage = rng.choice([f"schimpf{i}" for i in range(30)], toxicity.WINDOW).tolist()
+    net = toxicity.Network.new(1)
+    net.p["word"] = rng.normal(0, 0.5, net.p["word"].shape).astype(np.float32)
+    [alone] = net.logits(next(words(pa.array([" ".join(passage)]))))
+    texts = [" ".join(["ruhig"] * k + passage + ["ruhig"] * 60) for k in range(40)]
+    assert (net.logits(next(words(pa.array(texts)))) >= alone - 1e-5).all()
+
+
 @pytest.mark.parametrize("name", ["quality", "toxic"])
 def test_odd_rows(spark, name):
     learn, score = (quality.learn, quality.score) if name == "quality" else (toxicity.learn, toxicity.score)

@@ -3,8 +3,8 @@
 Inputs of a word: an embedding of the whole lower-case word and the mean embedding of its character
 n-grams (the word's beginnings of 4 and 5 bytes, and its trigrams), both hashed into tables of fixed
 size. Words run through a forward and a backward gated recurrent unit; attention pools the states of
-a window, and a logistic unit scores it. A text's score is that of its worst window, over all
-overlapping windows of its words, to the last.
+a window, and a logistic unit scores it. A text's score is that of its worst window, over the windows
+of 24 words that start at every word, to the last; a shorter text is one window.
 
 Labels hold for whole texts, so learning is over instances in bags: each round takes every text's
 worst window under the present model (under word counts in the first round), besides a random one of
@@ -26,9 +26,10 @@ from .common import bounded_batches
 from .quality import _logistic
 from .wordgrid import Words, mix, words
 
-WINDOW, STRIDE = 24, 18
+WINDOW = 24
 WORD_BITS, CHAR_BITS = 14, 13
 DIM, HIDDEN, ATTEND = 6, 6, 4
+BLOCK = 2048  # starts of windows that are run together
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -93,12 +94,15 @@ def lexicon(chunk: Words) -> tuple[Lexicon, np.ndarray]:
 
 
 def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words and text of every window; a text without words has none."""
+    """First word, number of words and text of every window; a text without words has none.
+
+    A window starts at every word that has ``WINDOW`` words from there on.
+    """
     size = np.diff(at)
-    count = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
+    count = np.where(size > 0, 1 + np.maximum(0, size - WINDOW), 0)
     text = np.repeat(np.arange(len(size)), count)
     k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    first = at[:-1][text] + np.minimum(k * STRIDE, np.maximum(0, size[text] - WINDOW))
+    first = at[:-1][text] + k
     return first, np.minimum(size[text], WINDOW), text
 
 
@@ -169,6 +173,78 @@ class Network:
             tape |= {"s": s, "k": k, "w": w, "pooled": pooled, "x": lex_x, "seats": seats}
         return pooled @ self.p["o"] + self.p["ob"]
 
+    def every(self, lex_x: np.ndarray, index: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """``forward`` of the given windows, made for windows that start at every word.
+
+        Full windows are run by starts in a row, so a step's inputs are a slice of the words' and
+        nothing is gathered; starts whose window would span two texts are run too and left out.
+        """
+        out = np.empty(len(first), np.float32)
+        short = np.flatnonzero(length < WINDOW)
+        for i in range(0, len(short), 4096):
+            part = short[i : i + 4096]
+            out[part] = self.forward(lex_x, _seats(first[part], length[part], index), length[part])
+        full = np.flatnonzero(length == WINDOW)
+        if not len(full):
+            return out
+        h, p = HIDDEN, self.p
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * h, h])  # gates as 1 + tanh(x / 2)
+        ways = []
+        for way in "fb":
+            drive = np.ascontiguousarray(((lex_x @ p[f"x{way}"] + p[f"b{way}"]) * half).T)
+            u = np.ascontiguousarray((p[f"u{way}"] * half).T)
+            ways.append((drive, u[: 2 * h], u[2 * h :] * np.float32(0.5)))
+        mix_ = np.ascontiguousarray(np.concatenate([p["a"], p["o"][:, None]], 1).T)
+        bias, av = p["ab"][:, None], p["av"]
+        begin = first[full]
+        i = 0
+        while i < len(begin):
+            start = int(begin[i])
+            j = int(np.searchsorted(begin, start + BLOCK))
+            n = int(begin[j - 1]) - start + 1
+            seen = index[start : start + n + WINDOW - 1]
+            states = np.empty((WINDOW, 2 * h, n), np.float32)
+            g, c = np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32)
+            z, r = g[:h], g[h:]
+            for (drive, gates, inner), rows, times in zip(ways, (slice(0, h), slice(h, 2 * h)), (range(WINDOW), range(WINDOW - 1, -1, -1)), strict=True):
+                x = np.take(drive, seen, axis=1)
+                state = None
+                for t in times:
+                    new = states[t, rows]
+                    if state is None:
+                        np.tanh(x[:h, t : t + n], out=z)
+                        z += 1
+                        z *= 0.5
+                        np.tanh(x[2 * h :, t : t + n], out=c)
+                        np.multiply(z, c, out=new)
+                    else:
+                        np.matmul(gates, state, out=g)
+                        g += x[: 2 * h, t : t + n]
+                        np.tanh(g, out=g)
+                        g += 1
+                        r *= state
+                        np.matmul(inner, r, out=c)
+                        c += x[2 * h :, t : t + n]
+                        np.tanh(c, out=c)
+                        c -= state
+                        c *= z
+                        c *= 0.5
+                        np.add(state, c, out=new)
+                    state = new
+            total, pooled = np.zeros(n, np.float32), np.zeros(n, np.float32)
+            for t in range(WINDOW):
+                k = mix_ @ states[t]
+                value, k = k[ATTEND], k[:ATTEND]
+                k += bias
+                np.tanh(k, out=k)
+                e = np.exp(av @ k)
+                total += e
+                e *= value
+                pooled += e
+            out[full[i:j]] = (pooled / total)[begin[i:j] - start] + p["ob"]
+            i = j
+        return out
+
     def backward(self, tape: dict, d_logit: np.ndarray, lex: Lexicon) -> dict[str, np.ndarray]:
         p, h, s, k, w, seats, x = self.p, HIDDEN, tape["s"], tape["k"], tape["w"], tape["seats"], tape["x"]
         g: dict[str, np.ndarray] = {"o": tape["pooled"].T @ d_logit, "ob": np.array([d_logit.sum()], np.float32)}
@@ -215,9 +291,7 @@ class Network:
         if len(index):
             x = self.embed(lex)
             first, length, text = windows(chunk.at)
-            for i in range(0, len(first), 4096):
-                part = slice(i, i + 4096)
-                np.maximum.at(out, text[part], self.forward(x, _seats(first[part], length[part], index), length[part]))
+            np.maximum.at(out, text, self.every(x, index, first, length))
         out[np.isinf(out)] = np.nan
         return out
 
@@ -262,8 +336,9 @@ def fit(texts: list[bytes | str], labels: list[int], counts: dict[int, int], rou
         ratio = np.log((n[1] + 0.5) / max(1, (y[learn] == 1).sum())) - np.log((n[0] + 0.5) / max(1, (y[learn] == 0).sum()))
         ratio *= (n[0] + n[1]) >= 3
         strength = np.maximum(strength, ratio[rows])
-    grid = np.minimum(first[:, None] + np.arange(WINDOW), (first + length - 1)[:, None])
-    hint = strength[index[grid]].max(1) if len(first) else np.zeros(0)
+    hint = np.full(len(first), -np.inf)
+    for t in range(WINDOW if len(first) else 0):
+        np.maximum(hint, strength[index[np.minimum(first + t, first + length - 1)]], out=hint)
 
     def worst(value: np.ndarray) -> np.ndarray:
         """Index of each text's window of the largest value; texts without windows are left out."""
@@ -271,14 +346,10 @@ def fit(texts: list[bytes | str], labels: list[int], counts: dict[int, int], rou
         last = np.flatnonzero(np.append(np.diff(text[by]) > 0, True))
         return by[last]
 
-    def logit(part: np.ndarray) -> np.ndarray:
-        x = net.embed(lex)
-        return np.concatenate([net.forward(x, _seats(first[c], length[c], index), length[c]) for c in np.array_split(part, max(1, len(part) // 4096))]) if len(part) else np.zeros(0)
-
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for turn in range(rounds):
-        value = hint if turn == 0 else logit(np.arange(len(first)))
+        value = hint if turn == 0 else net.every(net.embed(lex), index, first, length)
         take = worst(value + 1e-9 * r.random(len(value)))
         clean = np.flatnonzero(y[text] == 0)
         extra = r.choice(clean, min(len(clean), len(take) // 2), replace=False) if len(clean) else clean
@@ -301,7 +372,7 @@ def fit(texts: list[bytes | str], labels: list[int], counts: dict[int, int], rou
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-    value = logit(np.arange(len(first)))
+    value = net.every(net.embed(lex), index, first, length)
     best = worst(value)
     held = best[check[text[best]]]
     if len(set(y[text[held]].tolist())) < 2:
