@@ -71,6 +71,38 @@ def test_shards(spark, small):
         assert sorted(part.slot) == list(range(len(part)))
 
 
+def test_shards_beside_a_group_of_a_third(spark):
+    rng = random.Random(5)
+    rows = [(i, "x" * 299) for i in range(100)] + [(1000 + i, f"{i} " + "y" * rng.randint(20, 170)) for i in range(600)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), bins=8).toPandas()
+    assert len(got) == len(rows) and 0.3 < 30000 / got["size"].sum() < 0.4
+    hot = set(got[got.doc_id < 1000].shard)
+    others = got[got.doc_id >= 1000].groupby("shard")["size"].sum()
+    assert len(hot) == 1 and len(others) == 7 and not hot & set(others.index)
+    assert others.max() - others.min() < 0.02 * others.mean()
+
+
+def test_groups_above_a_fair_share_lie_alone():
+    r = random.Random(4)
+    for _ in range(200):
+        bins = r.randint(1, 9)
+        sizes = [r.choice((1, 2, 3, 5, 8)) for _ in range(r.randint(0, 60))] + [r.choice((40, 90, 90, 400)) for _ in range(r.randint(1, 6))]
+        plan = sharding.fit_into(Counter(sizes), bins)
+        seen, held = Counter(), defaultdict(list)
+        for size, lo, hi, first, per in plan.runs:
+            for rank in range(lo, hi):
+                seen[size, rank] += 1
+                held[first + (rank - lo) // per].append(size)
+        assert seen == Counter((s, k) for s, n in Counter(sizes).items() for k in range(n))
+        assert len(held) == plan.bins <= bins and set(held) == set(range(plan.bins))
+        left, total = bins, sum(sizes)
+        for size in sorted(sizes, reverse=True):
+            if size * left <= total:
+                break
+            assert [size] in held.values()
+            left, total = left - 1, total - size
+
+
 def test_shards_of_odd_rows(spark):
     rows = sharding.shard(odd_docs(spark), bins=3).collect()
     assert len(rows) == len(ODD)

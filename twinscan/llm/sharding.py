@@ -139,6 +139,36 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int, most_bins: int
 
 
 def fit_into(histogram: dict[int, int], bins: int) -> Packing:
+    """Groups above a fair share get bins of their own; the others the smallest capacity (by
+    bisection) at which best fit needs at most the remaining bins.
+
+    A fair share is the bytes by bin of what is not set apart yet.
+    """
+    rest, total, alone = dict(histogram), sum(s * n for s, n in histogram.items()), []
+    for size in sorted(histogram, reverse=True):
+        apart = 0
+        # at most bins - 1 groups in all can be above the share of what is left
+        while apart < histogram[size] and size * bins > total:
+            apart, bins, total = apart + 1, bins - 1, total - size
+        if apart:
+            alone.append((size, apart))
+            rest[size] -= apart
+        if apart < histogram[size]:
+            break
+    rest = {s: n for s, n in rest.items() if n}
+    if not alone:
+        return _even(rest, bins)
+    plan = _even(rest, bins) if rest else Packing(0, 0)
+    held = dict(alone)
+    # the groups apart are the first ranks of their sizes
+    runs = [(s, a + held.get(s, 0), b + held.get(s, 0), where, per) for s, a, b, where, per in plan.runs]
+    for size, n in alone:
+        runs.append((size, 0, n, plan.bins, 1))
+        plan.bins += n
+    return Packing(max(plan.capacity, alone[0][0]), plan.bins, runs)
+
+
+def _even(histogram: dict[int, int], bins: int) -> Packing:
     """The smallest capacity (by bisection) at which best fit needs at most ``bins`` bins."""
     total = sum(s * n for s, n in histogram.items())
     low = max(-(-total // bins), max(histogram, default=0), 1)
@@ -162,7 +192,8 @@ def shard(docs: DataFrame, bins: int | None = 8, capacity: int | None = None, te
     shards as best fit needs of at most that size. Size of a row: UTF-8 bytes of its text plus 1;
     a null text counts as empty. Returns ``key, size, text_crc32, shard, slot``; slots are gapless
     from 0 in each shard. No rows give no rows; repeated rows are separate rows of one group.
-    A group larger than a fair share fills a shard alone, as it can't be divided.
+    A group larger than a fair share fills a shard alone, as it can't be divided; the other groups
+    are spread evenly over the other shards.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
