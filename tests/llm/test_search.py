@@ -31,6 +31,39 @@ def test_brute_force_with_ties_and_clusters(spark):
     assert got == brute(range(0, 300, 7), np.arange(300), whole, 5)
 
 
+def plain_rows(ids, x, k, every):
+    """Each query id's k best rows of other ids, a row by its best score over the id's vectors."""
+    out = []
+    for q in sorted({i for i in ids.tolist() if i % every == 0}):
+        score = (x @ x[ids == q].T).max(1)
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:k]
+        out += [(q, n + 1, int(ids[i]), int(score[i])) for n, i in enumerate(order)]
+    return out
+
+
+def test_repeated_query_ids(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.2, (260, 6)).astype(np.float32)
+    ids = np.arange(260)
+    ids[100:140], x[100:140] = 7, x[7] * 3  # a hot query id, equal vectors but one
+    ids[140:142], x[140:142] = 14, x[14]
+    ids[142:145] = 21  # different vectors
+    ids[145:147], x[145:147] = 5, x[5]  # repeated candidates
+    got = run(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)]).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == plain_rows(ids, np.floor(1024 * x.astype(float)), 5, 7)
+
+
+def test_own_rows_do_not_prune_others():
+    rng = np.random.default_rng(5)
+    near = rng.normal(0, 1, (400, 4)).round(1) * 100
+    own = np.repeat([[900.0, 900, 900, 900]], 30, axis=0)  # far above all others
+    x = np.concatenate([own, near])
+    ids = np.array([1] * 30 + list(range(2, 402)))
+    q, c, score = covertree.best(own[:1], np.array([1]), x, ids, 5)
+    want = np.sort(near @ own[0])[::-1][:5]
+    assert q.tolist() == [1] * 5 and sorted(score.tolist(), reverse=True) == want.astype(int).tolist()
+
+
 def test_tree_covers_and_separates():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(150, 3)), np.zeros((40, 3))])

@@ -6,8 +6,9 @@ apart from their siblings, and every point is within its node's radius. Both tre
 together, level by level. A pair of nodes is pruned when no query below one and no candidate below
 the other can have a score above the worst k-th score in the query node: with centres g and p and
 radii r and s, a score is at most <g,p> + r|p| + s|g| + rs, and at least <g,p> - r|p| for the centre p
-itself, so the (k+1)-th largest of the latter bounds the k-th score of every query in the node (one
-more, since a query's own vector doesn't count). The blocks' best are merged.
+itself, so the (k+m)-th largest of the latter bounds the k-th score of every query in the node, m being
+the most candidates with its own id that a query in the node has there, as these don't count. The
+blocks' best are merged.
 
 Scores are integers and exact: products of integers below 2**53 in double precision.
 """
@@ -81,12 +82,19 @@ def cover_tree(x: np.ndarray) -> list[Level]:
     return levels
 
 
-def search(queries: np.ndarray, candidates: np.ndarray, k: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+def search(queries: np.ndarray, candidates: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs that may be among each query's k best: (query rows, candidate rows, scored pairs).
 
-    All pairs that score at least a query's k-th best are among them.
+    All pairs that score at least a query's k-th best are among them. own: how many candidates don't
+    count for each query; one, if not given.
     """
     q_levels, c_levels = cover_tree(queries), cover_tree(candidates)
+    # the most of them for a query below each node, from the single points up
+    spare = [(np.ones(len(queries), int) if own is None else own)[q_levels[-1].centre]]
+    for upper, lower in zip(q_levels[-2::-1], q_levels[:0:-1], strict=True):
+        most = np.zeros(len(upper.centre), int)
+        np.maximum.at(most, lower.parent, spare[0])
+        spare.insert(0, most)
     size_q, size_c = np.sqrt((queries**2).sum(1)), np.sqrt((candidates**2).sum(1))
     open_ = np.ones((1, 1), bool)
     scored = 0
@@ -100,10 +108,11 @@ def search(queries: np.ndarray, candidates: np.ndarray, k: int, keep: np.ndarray
         scored += int(open_.sum())
         low = score - q.radius[:, None] * size_c[c.centre][None, :]
         low[~open_] = -np.inf
-        if low.shape[1] > k:
-            worst = np.partition(low, -(k + 1), axis=1)[:, -(k + 1)]
-        else:
-            worst = np.full(len(low), -np.inf)
+        worst = np.full(len(low), -np.inf)
+        needed = k + spare[min(depth, len(q_levels) - 1)]
+        for n in np.unique(needed[needed <= low.shape[1]]):
+            same = needed == n
+            worst[same] = np.partition(low[same], -n, axis=1)[:, -n]
         high = score + q.radius[:, None] * size_c[c.centre][None, :] + c.radius[None, :] * (size_q[q.centre] + q.radius)[:, None]
         open_ &= high >= (worst - 1e-6 * np.abs(np.where(np.isfinite(worst), worst, 0)) - 1e-3)[:, None]
     i, j = np.nonzero(open_)
@@ -111,17 +120,28 @@ def search(queries: np.ndarray, candidates: np.ndarray, k: int, keep: np.ndarray
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's k best; ties to the smaller id."""
-    i, j, _ = search(queries, candidates, k)
+    """(query id, candidate id, score) of each query id's k best rows; ties to the smaller id.
+
+    Of several query vectors of one id, a candidate row's best score holds.
+    """
+    names, name = np.unique(query_ids, return_inverse=True)
+    held, copies = np.unique(ids, return_counts=True)
+    at = np.minimum(np.searchsorted(held, query_ids), len(held) - 1)
+    i, j, _ = search(queries, candidates, k, np.where(held[at] == query_ids, copies[at], 0))
     other = query_ids[i] != ids[j]
     i, j = i[other], j[other]
     score = np.einsum("ij,ij->i", queries[i], candidates[j]).astype(np.int64)
+    i = name.reshape(-1)[i]
+    order = np.lexsort((-score, j, i))
+    i, j, score = i[order], j[order], score[order]
+    once = np.concatenate(([True], (i[1:] != i[:-1]) | (j[1:] != j[:-1]))) if len(i) else np.zeros(0, bool)
+    i, j, score = i[once], j[once], score[once]
     order = np.lexsort((ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     begin = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, int)
     rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
     top = rank < k
-    return query_ids[i[top]], ids[j[top]], score[top]
+    return names[i[top]], ids[j[top]], score[top]
 
 
 def usable(vector: Column) -> Column:
@@ -135,7 +155,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     Components become floor(scale * x). Vectors of different lengths count as padded with zeros.
     Rows without a key or a usable vector take no part; a key's repeated rows are separate
-    candidates, none of them for the key's own query. Ties go to the smaller key.
+    candidates, none of them for the key's own query. A key's repeated query rows are one query; where
+    their vectors differ, a candidate's best score holds. Ties go to the smaller key.
     """
     rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     n, nq = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).first()
@@ -146,7 +167,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     place = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(count)).cast("int")
     sides = rows.select("id", "v", F.lit(False).alias("query"), place(blocks, 1).alias("b"), every(query_blocks).alias("a"))
-    asked = rows.where("q").select("id", "v", F.lit(True).alias("query"), every(blocks).alias("b"), place(query_blocks, 2).alias("a"))
+    asked = rows.where("q").select("id", "v").distinct().select("id", "v", F.lit(True).alias("query"), every(blocks).alias("b"), place(query_blocks, 2).alias("a"))
     dealt = sides.unionByName(asked).select((F.col("a").cast("long") * blocks + F.col("b")).alias("task"), "query", "id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
