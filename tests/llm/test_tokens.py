@@ -75,6 +75,51 @@ def test_exact_posterior(model):
         assert abs(got[ids] / n - p) < 5 * math.sqrt(p / n) + 1e-4
 
 
+def edge_shares(model, text):
+    """Posterior share of every edge (start, piece id), by plain sums over all segmentations."""
+    weight = {}
+    for k, i in enumerate(model.ids):
+        weight.setdefault(model.bytes_of[i], []).append((math.exp(model.weight[k]), int(i)))
+    edges = [(a, a + 1, math.exp(model.byte_weight), int(model.byte_id[text[a]])) for a in range(len(text))]
+    edges += [(a, b, w, i) for a in range(len(text)) for b in range(a + 1, min(len(text), a + model.longest) + 1) for w, i in weight.get(text[a:b], ())]
+    ahead, back = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0]
+    for a, b, w, _ in sorted(edges, key=lambda e: e[1]):
+        ahead[b] += ahead[a] * w
+    for a, b, w, _ in sorted(edges, key=lambda e: -e[0]):
+        back[a] += back[b] * w
+    return {(a, i): ahead[a] * w * back[b] / back[0] for a, b, w, i in edges}
+
+
+UNSPACED = ["中国人民大学的学生在日本东京学习国际关系和世界历史文化", "thequickbrownfoxjumpsoverthelazydogandrunsawayfromtheinternationalgovernment/index.html"]
+
+
+@pytest.mark.parametrize("text", UNSPACED)
+@pytest.mark.parametrize("segment", [1 << 16, 23])
+def test_posterior_of_unspaced_texts(model, monkeypatch, text, segment):
+    monkeypatch.setattr(pieces, "SEGMENT", segment)
+    raw, n = text.encode(), 4000 if segment > 64 else 400
+    assert len(raw) > 70
+    got, over = Counter(), 0
+    for ids in sample(model, [text] * n, range(n)):
+        at = 0
+        for i in ids:
+            got[at, i] += 1
+            over += at < 64 < at + len(model.bytes_of[i])
+            at += len(model.bytes_of[i])
+        assert at == len(raw)
+    assert over > 0.3 * n  # pieces across byte 64
+    for edge, p in edge_shares(model, raw).items():
+        assert abs(got[edge] / n - p) < 6 * math.sqrt(p / n) + 6 / n
+
+
+def test_segments_do_not_change_samples(model, monkeypatch):
+    texts = ["".join(UNSPACED) * 3, " and then " + UNSPACED[1] * 2 + " \U0001f600", "a" * 300]
+    whole = sample(model, texts, range(3))
+    for segment in (5, 64, 100):
+        monkeypatch.setattr(pieces, "SEGMENT", segment)
+        assert sample(model, texts, range(3)) == whole
+
+
 def test_pieces_of_odd_rows(spark):
     got = pieces.encode(odd_docs(spark), seed=3)
     rows = got.collect()

@@ -13,7 +13,9 @@ Decoding is lossless: a literal meta symbol in a text is only ever written as by
 concatenating bytes gives the text back, byte for byte; nothing is normalised.
 
 Chunks repeat a lot, so lattices are computed once per distinct chunk of a batch, for all chunks of
-a batch together in numpy; all occurrences walk back together too.
+a batch together in numpy; all occurrences walk back together too. Chunks above ``SEGMENT`` bytes are
+filtered in segments that carry the sums of the last positions on, and walked back in the same
+segments, so memory stays bounded and pieces cross all borders.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ def default_path() -> str:
 
 SHARE_BITS = 36
 SHARE = 1 << SHARE_BITS
+SEGMENT = 1 << 16
 _SALT = mix(np.arange(256, dtype=np.uint64), 31) | np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -117,30 +120,66 @@ class Lattice:
         first[bounds[:-1][bounds[:-1] < n]] = True
         starts = np.flatnonzero(first)
         size = np.diff(np.append(starts, n))
-        # very long chunks are cut, so that all lattices stay small; pieces don't cross the cuts
-        if size.max() > 64:
-            parts = -(-size // 64)
-            starts = np.repeat(starts, parts) + 64 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-            size = np.diff(np.append(starts, n))
+        text = np.searchsorted(bounds, starts, "right") - 1
+        salt = mix(keys.astype(np.uint64) ^ mix(np.array([seed], np.uint64), 51), 52)[text]
+        begin, walks = bounds[text], []
+        long = size > SEGMENT
+        for i in np.flatnonzero(long).tolist():
+            walks += self._stream(data[starts[i] : starts[i] + size[i]], starts[i], begin[i], salt[i])
         # distinct chunks by hash and length
-        place = np.arange(n) - np.repeat(starts, size)
-        value = mix(data.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)), 41)
-        both = np.add.reduceat(value, starts) ^ mix(size.astype(np.uint64), 42)
-        _, one, which = np.unique(both, return_index=True, return_inverse=True)
-        which = which.reshape(-1)
-        edge = self._edges(data, starts[one], size[one])
-        return self._walk(edge, starts, size, which, bounds, keys, seed)
-
-    def _edges(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple:
+        if not long.all():
+            place = np.arange(n) - np.repeat(starts, size)
+            value = mix(data.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)), 41)
+            both = np.add.reduceat(value, starts) ^ mix(size.astype(np.uint64), 42)
+            starts, size, both, begin, salt = (x[~long] for x in (starts, size, both, begin, salt))
+            _, one, which = np.unique(both, return_index=True, return_inverse=True)
+            which = which.reshape(-1)
+            edge, _ = self._edges(data, starts[one], size[one])
+            walks.append(self._walk(edge, starts, size, which, begin, salt)[:2])
+        at, found = (np.concatenate(x) for x in zip(*walks, strict=True))
+        order = np.argsort(at)
+        at, found = at[order], found[order]
+        real = np.where(found >= 0, self.ids[np.maximum(found, 0)], self.byte_id[np.where(found < 0, -1 - found, 0)])
+        return real, np.diff(np.searchsorted(at, bounds))
+
+    def _stream(self, data: np.ndarray, start: int, begin: int, salt: np.uint64) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``_walk`` of one long chunk: places and pieces, segment by segment from its end.
+
+        start, begin: where the chunk and its text begin. The first pass keeps the last positions'
+        sums before each segment; the second computes the segment's edges again.
+        """
+        cuts, known, held = range(0, len(data), SEGMENT), np.zeros(1), []
+        for s in cuts:
+            held.append(known)
+            lo, e = s + 1 - len(known), min(s + SEGMENT, len(data))
+            _, alpha = self._edges(data, np.array([lo]), np.array([e - lo]), known)
+            known = alpha[-min(self.longest, e + 1) :]
+            known = known - known[-1]
+        out, left = [], len(data)
+        for s, known in zip(cuts[::-1], held[::-1], strict=True):
+            lo, e = s + 1 - len(known), min(s + SEGMENT, len(data))
+            if left <= s:
+                continue
+            edge, _ = self._edges(data, np.array([lo]), np.array([e - lo]), known)
+            at, found, rest = self._walk(edge, np.array([start + lo]), np.array([left - lo]), np.zeros(1, int), np.array([begin]), np.array([salt]), s - lo)
+            out.append((at, found))
+            left = lo + int(rest[0])
+        return out
+
+    def _edges(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, known: np.ndarray | None = None) -> tuple[tuple, np.ndarray]:
         """Forward filtering of distinct chunks: per position, its edges' cumulated shares.
 
         Position p of chunk c is row base[c] + p; a row's edges end there. Returns (base, first edge
-        of each row, row and cumulated share as one number, length, index of the piece or -1 - byte).
+        of each row, row and cumulated share as one number, length, index of the piece or -1 - byte),
+        and the logarithm of every row's sum. known: these of the first rows of the only chunk.
         """
         base = np.concatenate([[0], np.cumsum(size + 1)])
         rows = int(base[-1])
         alpha = np.full(rows, -np.inf)
         alpha[base[:-1]] = 0.0
+        before = 0
+        if known is not None:
+            alpha[: len(known)], before = known, len(known) - 1
         longest, total = int(size.max()), int(size.sum())
         chunk = np.repeat(np.arange(len(size)), size)
         offset = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
@@ -167,13 +206,16 @@ class Lattice:
         start, slot, ids, weight = map(np.concatenate, (e_start, e_len, e_id, e_w))
         length = np.maximum(slot, 1)  # slot 0 is the byte edge
         row, depth = first[start] + length, offset[start] + length
+        if before:
+            new = depth > before
+            start, slot, ids, weight, length, row, depth = (x[new] for x in (start, slot, ids, weight, length, row, depth))
         order = np.argsort((depth * rows + row) * 64 + slot)
         row, length, weight, depth = row[order], length[order], weight[order], depth[order]
         ids, slot = ids[order], slot[order]
         # forward filtering, position by position for all chunks
         at = np.searchsorted(depth, np.arange(1, longest + 2))
         share = np.empty(len(row))
-        for p in range(longest):
+        for p in range(before, longest):
             part = slice(at[p], at[p + 1])
             r = row[part]
             value = alpha[r - length[part]] + weight[part]
@@ -189,20 +231,22 @@ class Lattice:
         # whole numbers, so that sums don't depend on the other chunks of a batch
         run = np.cumsum((share * SHARE).astype(np.int64))
         begin = np.searchsorted(row, np.arange(rows + 1))
-        before = np.concatenate([[0], run])[begin[row]]
-        return base, begin, row * (2 * SHARE) + (run - before), length, ids
+        earlier = np.concatenate([[0], run])[begin[row]]
+        return (base, begin, row * (2 * SHARE) + (run - earlier), length, ids), alpha
+
+    def _walk(self, edge: tuple, starts: np.ndarray, size: np.ndarray, which: np.ndarray, first: np.ndarray, salt: np.ndarray, stop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and pieces of all chunks, from their ends to ``stop``, and what is left of each.
 
-    def _walk(self, edge: tuple, starts: np.ndarray, size: np.ndarray, which: np.ndarray, bounds: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        first, salt: of each chunk's text.
+        """
         base, begin, cumulated, length, ids = edge
-        text = np.searchsorted(bounds, starts, "right") - 1
-        # the draw at a text position: hash of key, seed and the position in the text
-        salt = mix(keys.astype(np.uint64) ^ mix(np.array([seed], np.uint64), 51), 52)[text]
         left = size.copy()
         active = np.arange(len(starts))
         out_at, out_id = [], []
         while len(active):
             row = base[which[active]] + left[active]
-            position = (starts[active] + left[active] - bounds[text[active]]).astype(np.uint64)
+            # the draw at a text position: hash of key, seed and the position in the text
+            position = (starts[active] + left[active] - first[active]).astype(np.uint64)
             draw = (mix(salt[active] + position, 53) >> np.uint64(64 - SHARE_BITS)).astype(np.int64)
             pick = np.searchsorted(cumulated, row * (2 * SHARE) + draw, "right")
             pick = np.clip(pick, begin[row], begin[row + 1] - 1)
@@ -210,12 +254,8 @@ class Lattice:
             left[active] -= step
             out_at.append(starts[active] + left[active])
             out_id.append(ids[pick])
-            active = active[left[active] > 0]
-        at, found = np.concatenate(out_at), np.concatenate(out_id)
-        order = np.argsort(at)
-        at, found = at[order], found[order]
-        real = np.where(found >= 0, self.ids[np.maximum(found, 0)], self.byte_id[np.where(found < 0, -1 - found, 0)])
-        return real, np.diff(np.searchsorted(at, bounds))
+            active = active[left[active] > stop]
+        return np.concatenate(out_at), np.concatenate(out_id), left
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's bytes."""
