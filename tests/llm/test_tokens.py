@@ -130,6 +130,14 @@ def test_pieces_of_odd_rows(spark):
     assert all(r.lossless for r in queries.op5_pieces(spark, "/root/testdata/sf0.001").collect())
 
 
+def test_documents_come_back_from_the_query(spark, tiny):
+    got = queries.op5_pieces(spark, tiny)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()}
+    back = pieces.decode(got).collect()
+    assert len(back) == len(texts) and all(r.text == texts[r.doc_id] for r in back)
+    assert all(r.lossless and len(r.ids) == r.n_pieces for r in got.collect())
+
+
 # ------------------------------------------------------------------ packing
 
 

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches
 from .wordgrid import buffers, mix
@@ -137,10 +138,12 @@ class Lattice:
             edge, _ = self._edges(data, starts[one], size[one])
             walks.append(self._walk(edge, starts, size, which, begin, salt)[:2])
         at, found = (np.concatenate(x) for x in zip(*walks, strict=True))
-        order = np.argsort(at)
-        at, found = at[order], found[order]
+        # into the order of places
+        piece, here = np.zeros(n, np.int64), np.zeros(n, bool)
+        piece[at], here[at] = found, True
+        found = piece[here]
         real = np.where(found >= 0, self.ids[np.maximum(found, 0)], self.byte_id[np.where(found < 0, -1 - found, 0)])
-        return real, np.diff(np.searchsorted(at, bounds))
+        return real, np.diff(np.concatenate([[0], np.cumsum(here)])[bounds])
 
     def _stream(self, data: np.ndarray, start: int, begin: int, salt: np.uint64) -> list[tuple[np.ndarray, np.ndarray]]:
         """``_walk`` of one long chunk: places and pieces, segment by segment from its end.
@@ -226,11 +229,15 @@ class Lattice:
             sum_ = np.add.reduceat(e, new)
             alpha[r[new]] = top + np.log(sum_)
             share[part] = e / np.repeat(sum_, count)
-        order = np.argsort(row * 64 + slot)
+        # by rows; a row's edges are already together
+        begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+        new = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        count = np.diff(np.append(new, len(row)))
+        order = np.empty(len(row), np.int64)
+        order[np.arange(len(row)) + np.repeat(begin[row[new]] - new, count)] = np.arange(len(row))
         row, length, ids, share = row[order], length[order], ids[order], share[order]
         # whole numbers, so that sums don't depend on the other chunks of a batch
         run = np.cumsum((share * SHARE).astype(np.int64))
-        begin = np.searchsorted(row, np.arange(rows + 1))
         earlier = np.concatenate([[0], run])[begin[row]]
         return (base, begin, row * (2 * SHARE) + (run - earlier), length, ids), alpha
 
@@ -241,7 +248,7 @@ class Lattice:
         """
         base, begin, cumulated, length, ids = edge
         left = size.copy()
-        active = np.arange(len(starts))
+        active = np.argsort(which, kind="stable")  # neighbours look up neighbouring rows
         out_at, out_id = [], []
         while len(active):
             row = base[which[active]] + left[active]
@@ -271,13 +278,14 @@ def lattice(path: str, theta: float) -> Lattice:
     return _HELD[path, theta]
 
 
-def encode(docs: DataFrame, seed: int = 0, theta: float = 1.0, path: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, seed: int = 0, theta: float = 1.0, path: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = True, source: str | None = None) -> DataFrame:
     """One sampled segmentation of every whole text.
 
     Returns ``key, ids`` (array<int>, if asked for), ``n_pieces, n_bytes, ids_crc32,
     lossless``; the last tells whether decoding the ids gave the text back. A null text counts as
     empty and has no ids. A null key is sampled as key -1. Rows that repeat a key are sampled alike
-    where their texts are. Keys must be integers.
+    where their texts are. Keys must be integers. source: name of a column
+    to return the text in, for a check by ``decode``; there is no ``lossless`` then.
     """
     bounded_batches(docs.sparkSession)
     path = path or default_path()
@@ -295,32 +303,41 @@ def encode(docs: DataFrame, seed: int = 0, theta: float = 1.0, path: str | None
                 cut = np.concatenate([[0], np.cumsum(count)])
                 small = ids.astype("<u4")
                 crc = [zlib.crc32(small[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                back = model.decode(ids)
-                whole = data.tobytes()
-                if back == whole:
+                whole = b"" if source else data.tobytes()
+                if source:
+                    fine = None
+                elif model.decode(ids) == whole:
                     fine = [True] * (j - i)
                 else:
                     fine = [model.decode(ids[a:b]) == whole[x:y] for a, b, x, y in zip(cut[:-1], cut[1:], bounds[:-1], bounds[1:], strict=True)]
-                columns = [batch.column(0).slice(i, j - i), pa.array(count), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array(fine)]
-                names = [key, "n_pieces", "n_bytes", "ids_crc32", "lossless"]
+                columns = [batch.column(0).slice(i, j - i), pa.array(count), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())]
+                names = [key, "n_pieces", "n_bytes", "ids_crc32"]
+                if not source:
+                    columns.append(pa.array(fine))
+                    names.append("lossless")
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
+                if source:
+                    columns.append(batch.column(1).slice(i, j - i))
+                    names.append(source)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 i = j
 
-    schema = f"`{key}` long, n_pieces long, n_bytes long, ids_crc32 long, lossless boolean" + (", ids array<int>" if with_ids else "")
+    schema = f"`{key}` long, n_pieces long, n_bytes long, ids_crc32 long" + ("" if source else ", lossless boolean") + (", ids array<int>" if with_ids else "") + (f", `{source}` string" if source else "")
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``key, text`` from ids; null ids give an empty text."""
+def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key, text`` from ids, and the columns ``keep``; null ids give an empty text."""
+    rest = encoded.select(*keep).schema.fields if keep else []
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path, 1.0)
         for batch in batches:
-            got = [model.decode(np.asarray(x or [], np.int64)).decode() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], names=[key, "text"])
+            got = [(b"" if not x.is_valid else model.decode(x.values.to_numpy(zero_copy_only=False))).decode() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string()), *batch.columns[2:]], names=[key, "text", *keep])
 
-    return encoded.select(F.col(key).cast("long"), F.col(ids)).mapInArrow(run, f"`{key}` long, text string")
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("text", T.StringType()), *rest])
+    return encoded.select(F.col(key).cast("long"), F.col(ids), *keep).mapInArrow(run, schema)

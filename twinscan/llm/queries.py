@@ -55,8 +55,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sampled segmentation of all ``documents`` and whether it decodes to the text."""
-    return pieces.encode(table(spark, sf_dir, "documents"), seed=1, with_ids=False)
+    """A sampled segmentation of all ``documents``, its ids, and whether they decode to the text."""
+    found = pieces.encode(table(spark, sf_dir, "documents"), seed=1, source="source")
+    back = pieces.decode(found, keep=("n_pieces", "n_bytes", "ids_crc32", "source", "ids"))
+    fine = F.col("text") == F.coalesce("source", F.lit(""))
+    return back.select("doc_id", "n_pieces", "n_bytes", "ids_crc32", fine.alias("lossless"), "ids")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
