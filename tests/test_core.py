@@ -217,6 +217,22 @@ def tune(seed, seconds=8, rate=22050):
     return (12000 * x).astype(np.int16)
 
 
+def test_covers_go_to_their_own_decoder(spark):
+    from twinscan.settings import Settings
+    from twinscan.sources.media import probe
+
+    px = np.zeros((8, 8, 3), np.uint8)
+    px[:4] = 200
+    jpeg = b"\xff\xd8\xff\xe0 as a jpeg"
+    rows = [("/j.epub", "ebook", 1, bytearray(epub(jpeg))), ("/p.epub", "ebook", 1, bytearray(epub(decoders.write_png(px)))), ("/g.epub", "ebook", 1, bytearray(epub(b"GIF89a")))]
+    files = spark.createDataFrame(rows, "path string, kind string, size long, content binary")
+    for suffix in ("jpg", "jpeg"):
+        known = decoders.Decoders()
+        known.image[suffix] = lambda data: px if data == jpeg else None
+        got = {r.path: r.grid for r in probe(files, Settings(), known).collect()}
+        assert got["/j.epub"] == got["/p.epub"] is not None and got["/g.epub"] is None
+
+
 def epub(cover):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+JPEG = ("jpg", "jpeg", "jpe")
 #: Rate at which sound is compared.
 RATE = 22050
 
@@ -139,6 +140,14 @@ def write_png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+_MAGIC = ((b"\x89PNG", "png"), (b"\xff\xd8\xff", "jpg"), (b"GIF8", "gif"), (b"BM", "bmp"), (b"II*\0", "tif"), (b"MM\0*", "tif"))
+
+
+def image_suffix(data: bytes) -> str:
+    """Suffix of an image without a name, by its first bytes; empty if they are unknown."""
+    return next((suffix for magic, suffix in _MAGIC if data.startswith(magic)), "")
+
+
 def shrink(pixels: np.ndarray, w: int, h: int) -> np.ndarray:
     """Area-averaged to exactly w x h, whatever the aspect; small images are repeated up first."""
     y, x = pixels.shape[:2]
@@ -174,4 +183,7 @@ class Decoders:
     ebook: dict[str, Callable[[bytes], bytes | None]] = field(default_factory=dict)
 
     def of(self, kind: str, path: str) -> Callable | None:
-        return getattr(self, kind).get(path.rpartition(".")[2].lower())
+        """The decoder of a path's suffix; the JPEG suffixes stand for each other."""
+        found, suffix = getattr(self, kind), path.rpartition(".")[2].lower()
+        same = JPEG if kind == "image" and suffix in JPEG else ()
+        return next((found[s] for s in (suffix, *same) if s in found), None)

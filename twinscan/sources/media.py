@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashes import average_hash
 from ..settings import Settings
 from . import ebooks, sound
-from .decoders import Decoders, grays
+from .decoders import Decoders, grays, image_suffix
 
 PROBE = "path string, kind string, size long, width int, height int, length double, format string, grid array<int>, grid_tail array<array<int>>, peaks array<struct<f:int,t:int>>"
 
@@ -43,7 +43,7 @@ def probe(files: DataFrame, settings: Settings, decoders: Decoders | None = None
         elif kind == "ebook":
             read = known.of("ebook", path)
             cover = read(content) if read else None
-            if cover and (got := image(cover, "cover.png")):
+            if cover and (got := image(cover, f"cover.{image_suffix(cover)}")):
                 row["grid"] = got[2]
         elif kind == "video":
             read = known.of("video", path)
