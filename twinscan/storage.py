@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where the session names none (tests)."""
+    """``spark.checkpoint.dir``; a local folder where the session names none and runs in one process.
+
+    On a cluster without that setting executors would write to their own disks, so that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("twinscan.scratch.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="twinscan-")
         spark.conf.set("twinscan.scratch.dir", found)
     return found.rstrip("/")
@@ -35,10 +41,21 @@ def exists(spark: SparkSession, path: str) -> bool:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Cuts lineage in a way that survives lost executors. The folder goes when the driver ends.
+    Cuts lineage in a way that survives lost executors. The folder goes by ``free``, or when the
+    driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/twinscan-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete the folders of materialized tables that nothing will read any more."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path:
+            remove(table.sparkSession, path)
