@@ -6,11 +6,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from twinscan.llm import chat, jaccard, queries, sharding
+from twinscan.llm.wordgrid import words
 
-from .helpers import ODD, no_docs, odd_docs
+from .helpers import LONG, ODD, no_docs, odd_docs
 
 # ------------------------------------------------------------------ sharding
 
@@ -113,7 +116,10 @@ def test_shards_of_odd_rows(spark):
     load = Counter()
     for r in fixed:
         load[r.shard] += r.size
-    assert sum(v > 200 for v in load.values()) == 2 + (sum(r.size for r in fixed if r.doc_id in (1, 5)) > 200) - 0 or max(load.values()) > 200
+    # the long text, the long word and the three copies are each above the capacity, and so alone
+    assert sorted(v for v in load.values() if v > 200) == sorted([len(LONG) + 1, 5001, *([3 * 58] if 3 * 58 > 200 else [])])
+    alone = {r.shard for r in fixed if r.doc_id in (6, 9)}
+    assert len(alone) == 2 and all(r.shard not in alone for r in fixed if r.doc_id not in (6, 9))
 
 
 # ------------------------------------------------------------------ near duplicates
@@ -159,8 +165,9 @@ def test_all_pairs(spark, tiny):
     assert found(jaccard.near_duplicates(docs)) == want
 
 
-def test_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAF", 20)
+@pytest.mark.parametrize("large", [1 << 15, 100])
+def test_large_group_of_near_copies(spark, monkeypatch, large):
+    monkeypatch.setattr(jaccard, "LARGE", large)
     monkeypatch.setattr(jaccard, "BLOCK", 30)
     r = random.Random(1)
     base = [f"w{i}" for i in range(120)]
@@ -177,6 +184,60 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert found(jaccard.near_duplicates(df)) == brute(rows)
 
 
+def edited_copies(r, base, n, most):
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, most)):
+            w[r.randrange(len(w))] = f"x{r.random()}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_chosen_paths_lose_no_linked_pair(monkeypatch):
+    """Every pair at the threshold meets in a candidate component, in dense and in sparse buckets."""
+    monkeypatch.setattr(jaccard, "LEAF", 16)
+    r = random.Random(2)
+    texts = []
+    for n, most in ((150, 2), (150, 6), (100, 14)):
+        texts += edited_copies(r, [f"w{r.random()}" for _ in range(150)], n, most)
+    texts += [" ".join([f"common{i}" for i in range(12)] + [f"y{r.random()}" for _ in range(60)]) for _ in range(200)]
+    [chunk] = list(words(pa.array(texts), 1 << 62))
+    gram, at = jaccard.shingle_sets(chunk)
+    sketch = (jaccard.minhashes(gram, at) & np.uint32(255)).astype(np.uint8)
+    sets = np.split(gram, at[1:-1])
+    both = jaccard.intersections(sets)
+    size = np.diff(at)
+    link = 10 * both >= 8 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(link, True)
+    up = np.arange(len(texts))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for seed in range(2):
+        for i, j in jaccard.chosen_paths(seed, sketch, size, 0.8):
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                up[find(a)] = find(b)
+    root = np.array([find(i) for i in range(len(texts))])
+    i, j = np.nonzero(np.triu(link, 1))
+    assert len(i) > 2000 and (root[i] == root[j]).all()
+    assert len(set(root.tolist())) > 150  # unlike texts stay apart
+
+
+def test_spread():
+    r = np.random.default_rng(3)
+    linked = r.random((60, 60)) < 0.015
+    linked |= linked.T
+    np.fill_diagonal(linked, True)
+    want = np.arange(60)
+    for _ in range(60):
+        want = np.where(linked, want[None, :], 60).min(1)
+    assert (jaccard.spread(linked) == want).all()
+
+
 def test_runs_meet_the_recall():
     for recall in (0.9, 0.99, 0.9999):
         runs = jaccard.runs_for(recall, 0.8)
@@ -191,6 +252,11 @@ def test_intersections():
     a, b = ([np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (0, 5, 30, 50)] for _ in range(2))
     want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
     assert jaccard.intersections(a, b).tolist() == want
+    sets = [np.unique(r.integers(0, 400, n).astype(np.uint64)) for n in r.integers(0, 60, 80)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    assert jaccard.intersections(sets).tolist() == want
+    assert jaccard.intersections(sets[:30], sets[30:]).tolist() == [w[30:] for w in want[:30]]
+    assert jaccard.intersections([]).shape == (0, 0)
 
 
 def test_near_duplicates_of_odd_rows(spark):
@@ -202,6 +268,15 @@ def test_near_duplicates_of_odd_rows(spark):
     kept = jaccard.keep_one(odd_docs(spark)).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2, 6, 7, 8, 9]
     assert jaccard.keep_one(nulls).count() == 2
+    assert jaccard.keep_one(no_docs(spark)).count() == 0
+
+
+def test_keep_one_of_clashing_names_and_repeated_keys(spark):
+    rows = [(1, "a b c d e f", 777, "u", 7), (1, "quite another text of that key", 778, "v", 8), (2, "a b c d e f", 779, "w", 9), (1, "a b c d e f", 777, "u", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _row string, _HASH int")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[1]]
 
 
 # ------------------------------------------------------------------ chat

@@ -12,7 +12,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir  # noqa: F401  for the operators
+from ..storage import free, materialize, shared_dir  # noqa: F401  for the operators
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each of ``names``, with so many underscores behind that it is none of ``columns`` (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,17 +50,18 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str) ->
     identify a row up to interchangeable ones.
     """
     n = shuffle_partitions(df.sparkSession)
-    at = [*keys, "_bucket"]
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(n)).cast("int"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
-    first = counts.select(*at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    bucket, earlier, within, many = unused([*df.columns, name], "_bucket", "_before", "_inside", "_n")
+    at = [*keys, bucket]
+    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(n)).cast("int"))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*at).agg(F.count(F.lit(1)).alias(many))
+    first = counts.select(*at, F.coalesce(F.sum(many).over(before), F.lit(0)).alias(earlier))
     inside = Window.partitionBy(*at).orderBy(*order)
     return (
-        dealt.withColumn("_inside", F.row_number().over(inside) - 1)
+        dealt.withColumn(within, F.row_number().over(inside) - 1)
         .join(first, at)
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_before", "_inside")
+        .withColumn(name, F.col(earlier) + F.col(within))
+        .drop(bucket, earlier, within)
     )
 
 
