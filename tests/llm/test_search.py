@@ -67,19 +67,50 @@ def test_own_rows_do_not_prune_others():
 def test_tree_covers_and_separates():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(150, 3)), np.zeros((40, 3))])
-    levels = covertree.cover_tree(x)
-    assert sorted(levels[-1].centre.tolist()) == list(range(len(x)))
-    for upper, lower in zip(levels, levels[1:], strict=False):
-        gap = np.linalg.norm(x[lower.centre] - x[upper.centre[lower.parent]], axis=1)
-        assert (gap <= upper.radius[lower.parent] + 1e-6).all()
 
+    def walk(node):
+        assert (np.linalg.norm(x[node.rows] - x[node.centre], axis=1) <= node.radius + 1e-6).all()
+        held = [*(c.rows.tolist() for c in node.children), node.single.tolist()]
+        assert sorted(i for h in held for i in h) == sorted(node.rows.tolist())
+        if node.children:
+            centres = x[[c.centre for c in node.children]]
+            gap = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+            assert (gap[~np.eye(len(gap), dtype=bool)] > node.radius / 2 - 1e-6).all()
+        for child in node.children:
+            assert child.radius <= node.radius / 2 + 1e-6
+            walk(child)
 
-def test_pruning_happens():
-    rng = np.random.default_rng(3)
+    root = covertree.cover_tree(x)
+    assert sorted(root.rows.tolist()) == list(range(len(x))) and root.children
+    walk(root)
+
+
+def clusters(rng, wide):
     centres = rng.normal(0, 100, (8, 4))
-    x = np.concatenate([c + rng.normal(0, 0.5, (100, 4)) for c in centres])
-    i, j, scored = covertree.search(x[:20], x, 3)
-    assert len(i) < 20 * len(x) / 2
+    return np.floor(np.concatenate([c + rng.normal(0, wide, (100, 4)) for c in centres]))
+
+
+def test_pruned_pairs_are_never_multiplied():
+    rng = np.random.default_rng(3)
+    x = clusters(rng, 0.8)
+    walk = covertree.Search(x[::4], x, 3, np.arange(0, 800, 4), np.arange(800))
+    walk.run()
+    assert walk.products < 0.4 * 200 * len(x)
+
+
+def test_walk_equals_brute_force(monkeypatch):
+    rng = np.random.default_rng(8)
+    for leaf, row, seed in ((24, 512, 64), (2, 3, 1)):
+        for name, value in (("LEAF", leaf), ("ROW", row), ("SEED", seed)):
+            monkeypatch.setattr(covertree, name, value)
+        for wide in (0.8, 30):
+            x = clusters(rng, wide)
+            x[50:90] = x[50]
+            ids = rng.permutation(800)
+            q = ids % 9 == 0
+            a, b, score = covertree.best(x[q], ids[q], x, ids, 4)
+            want = sorted((i, j, s) for i, _, j, s in plain_rows(ids, x, 4, 9))
+            assert sorted(zip(a.tolist(), b.tolist(), score.tolist(), strict=True)) == want
 
 
 def test_odd_rows(spark):

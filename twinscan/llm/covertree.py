@@ -1,14 +1,13 @@
 """Exact top-k inner-product search by dual cover trees (Curtin and Ram, 2014).
 
-Queries and candidates are dealt to blocks, and every pair of blocks is one task. A task indexes both
-sides: the nodes of a cover tree's level are points of the set, more than half the parent's radius
-apart from their siblings, and every point is within its node's radius. Both trees are walked
-together, level by level. A pair of nodes is pruned when no query below one and no candidate below
-the other can have a score above the worst k-th score in the query node: with centres g and p and
-radii r and s, a score is at most <g,p> + r|p| + s|g| + rs, and at least <g,p> - r|p| for the centre p
-itself, so the (k+m)-th largest of the latter bounds the k-th score of every query in the node, m being
-the most candidates with its own id that a query in the node has there, as these don't count. The
-blocks' best are merged.
+Queries and candidates are dealt to blocks, and every pair of blocks is one task, which indexes both
+sides by a cover tree: a node's children are points of the set, more than half the node's radius
+apart from each other, and every point is within its node's radius. Both trees are walked together,
+depth first and the most promising pair of nodes first. A pair of nodes is pruned when no query below
+one and no candidate below the other can reach the worst k-th score that the queries have found so
+far: with centres g and p and radii r and s, a score is at most <g,p> + r|p| + s|g| + rs. Single points
+are nodes of radius 0, and are tested in rows: candidates against a group's centre, queries against a
+candidate node's centre. Below a pruned pair nothing is multiplied. The blocks' best are merged.
 
 Scores are integers and exact: products of integers below 2**53 in double precision.
 """
@@ -16,7 +15,7 @@ Scores are integers and exact: products of integers below 2**53 in double precis
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,98 +24,157 @@ from pyspark.sql import functions as F
 
 from .common import groups_of
 
-LEAF = 16
+#: Points below which a node is not divided, singles that are scored at a time, and at first.
+LEAF, ROW, SEED = 24, 512, 64
 
 
 @dataclass
-class Level:
-    """Nodes of one level: centre (row of the points), radius, and index of the parent."""
+class Node:
+    """A ball around a point of the set; ``rows``: all points in it, ``single``: children without a ball."""
 
-    centre: np.ndarray
-    radius: np.ndarray
-    parent: np.ndarray
+    centre: int
+    radius: float
+    rows: np.ndarray
+    single: np.ndarray
+    children: list[Node] = field(default_factory=list)
 
 
-def cover_tree(x: np.ndarray) -> list[Level]:
-    """Levels from the root to single points; a node's first child has its centre."""
+def cover_tree(x: np.ndarray) -> Node:
+    """The tree of a set of at least one point; its root is around the first."""
     square = (x * x).sum(1)
 
     def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(square[a][:, None] + square[b][None, :] - 2 * (x[a] @ x[b].T), 0))
 
+    def grow(centre: int, rows: np.ndarray, radius: float) -> Node:
+        if len(rows) <= LEAF or radius == 0:
+            return Node(centre, radius, rows, rows)
+        node = Node(centre, radius, rows, rows[:0])
+        single, left = [], np.concatenate([[centre], rows[rows != centre]])
+        while len(left):
+            # separate points among the next ones, then all that they cover
+            some = left[:256]
+            near = apart(some, some) <= radius / 2
+            taken = np.zeros(len(some), bool)
+            for j in range(len(some)):
+                taken[j] = not (near[j] & taken).any()
+            chosen = some[taken]
+            away = apart(chosen, left)
+            mine, gap = away.argmin(0), away.min(0)
+            # a chosen point is its own, whatever rounding says of it and its copies
+            mine[np.flatnonzero(taken)] = np.arange(len(chosen))
+            gap[np.flatnonzero(taken)] = 0
+            covered = gap <= radius / 2
+            held, order = left[covered], np.argsort(mine[covered], kind="stable")
+            reach = gap[covered][order]
+            held, cut = held[order], np.searchsorted(mine[covered][order], np.arange(len(chosen) + 1))
+            for j, one in enumerate(chosen.tolist()):
+                part = held[cut[j] : cut[j + 1]]
+                if len(part) == 1:
+                    single.append(one)
+                else:
+                    node.children.append(grow(one, part, float(reach[cut[j] : cut[j + 1]].max())))
+            left = left[~covered]
+        node.single = np.array(single, np.int64)
+        return node
+
     root = np.arange(len(x))
-    reach = float(apart(root[:1], root).max(initial=0))
-    levels = [Level(root[:1], np.array([reach]), np.zeros(1, int))]
-    held = [root]
-    while any(len(m) > 1 for m in held):
-        centre, radius, parent, members = [], [], [], []
-        for i, (c, r, m) in enumerate(zip(levels[-1].centre, levels[-1].radius, held, strict=True)):
-            if len(m) <= LEAF or r == 0:
-                centre += m.tolist()
-                radius += [0.0] * len(m)
-                parent += [i] * len(m)
-                members += [m[j : j + 1] for j in range(len(m))]
-                continue
-            left = np.concatenate([[c], m[m != c]])
-            while len(left):
-                # separate points among the next ones, then all that they cover
-                some = left[:256]
-                near = apart(some, some) <= r / 2
-                taken = np.zeros(len(some), bool)
-                for j in range(len(some)):
-                    taken[j] = not (near[j] & taken).any()
-                chosen = some[taken]
-                away = apart(chosen, left)
-                mine, gap = away.argmin(0), away.min(0)
-                covered = gap <= r / 2
-                for j, one in enumerate(chosen):
-                    mine_of = left[covered & ((mine == j) | (left == one))]
-                    far = float(apart(chosen[j : j + 1], mine_of).max())
-                    centre.append(int(one))
-                    radius.append(far)
-                    parent.append(i)
-                    members.append(np.concatenate([[one], mine_of[mine_of != one]]))
-                left = left[~covered]
-        levels.append(Level(np.array(centre), np.array(radius), np.array(parent)))
-        held = members
-    return levels
-
-
-def search(queries: np.ndarray, candidates: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs that may be among each query's k best: (query rows, candidate rows, scored pairs).
-
-    All pairs that score at least a query's k-th best are among them. own: how many candidates don't
-    count for each query; one, if not given.
-    """
-    q_levels, c_levels = cover_tree(queries), cover_tree(candidates)
-    # the most of them for a query below each node, from the single points up
-    spare = [(np.ones(len(queries), int) if own is None else own)[q_levels[-1].centre]]
-    for upper, lower in zip(q_levels[-2::-1], q_levels[:0:-1], strict=True):
-        most = np.zeros(len(upper.centre), int)
-        np.maximum.at(most, lower.parent, spare[0])
-        spare.insert(0, most)
-    size_q, size_c = np.sqrt((queries**2).sum(1)), np.sqrt((candidates**2).sum(1))
-    open_ = np.ones((1, 1), bool)
-    scored = 0
-    for depth in range(max(len(q_levels), len(c_levels))):
-        q, c = q_levels[min(depth, len(q_levels) - 1)], c_levels[min(depth, len(c_levels) - 1)]
-        if depth:
-            rows = q.parent if depth < len(q_levels) else np.arange(len(q.centre))
-            columns = c.parent if depth < len(c_levels) else np.arange(len(c.centre))
-            open_ = open_[np.ix_(rows, columns)]
-        score = queries[q.centre] @ candidates[c.centre].T
-        scored += int(open_.sum())
-        low = score - q.radius[:, None] * size_c[c.centre][None, :]
-        low[~open_] = -np.inf
-        worst = np.full(len(low), -np.inf)
-        needed = k + spare[min(depth, len(q_levels) - 1)]
-        for n in np.unique(needed[needed <= low.shape[1]]):
-            same = needed == n
-            worst[same] = np.partition(low[same], -n, axis=1)[:, -n]
-        high = score + q.radius[:, None] * size_c[c.centre][None, :] + c.radius[None, :] * (size_q[q.centre] + q.radius)[:, None]
-        open_ &= high >= (worst - 1e-6 * np.abs(np.where(np.isfinite(worst), worst, 0)) - 1e-3)[:, None]
-    i, j = np.nonzero(open_)
-    return q.centre[i], c.centre[j], scored
+    return grow(0, root, float(apart(root[:1], root).max(initial=0)))
+
+
+class Search:
+    """The k best candidates of every query; ties to the candidate that comes first."""
+
+    def __init__(self, queries: np.ndarray, candidates: np.ndarray, k: int, query_ids: np.ndarray, ids: np.ndarray) -> None:
+        self.x, self.y, self.k, self.query_ids, self.ids = queries, candidates, k, query_ids, ids
+        self.size_x, self.size_y = np.sqrt((queries**2).sum(1)), np.sqrt((candidates**2).sum(1))
+        # room for rounding in norms and radii; scores themselves are exact
+        self.slack = 1e-3 + 1e-9 * float(self.size_x.max(initial=0)) * float(self.size_y.max(initial=0))
+        self.score = np.full((len(queries), k), -np.inf)
+        self.row = np.full((len(queries), k), len(candidates))
+        self.products = 0
+
+    def run(self) -> None:
+        if len(self.x) and len(self.y):
+            q, c = cover_tree(self.x), cover_tree(self.y)
+            self.pair(q, q.rows, c)
+
+    def worst(self, rows: np.ndarray) -> float:
+        return float(self.score[rows, -1].min())
+
+    def pair(self, q: Node, asked: np.ndarray, c: Node) -> None:
+        """All queries ``asked`` of a node against all candidates of another, both inner."""
+        for rows, node in self.parts(q, asked):
+            if node is None:
+                # queries by themselves, those that can't gain anything left out
+                self.products += len(rows)
+                high = self.x[rows] @ self.y[c.centre] + c.radius * self.size_x[rows]
+                self.candidates(rows[high >= self.score[rows, -1] - self.slack], None, c)
+            elif self.bound(node, np.array([c.centre]), np.array([c.radius]))[0] >= self.worst(rows) - self.slack:
+                self.candidates(rows, node, c)
+
+    def parts(self, q: Node, asked: np.ndarray) -> list[tuple[np.ndarray, Node | None]]:
+        """A query node's children, groups of singles among them."""
+        found: list[tuple[np.ndarray, Node | None]] = [(child.rows, child) for child in q.children]
+        return found + [(q.single[i : i + ROW], None) for i in range(0, len(q.single), ROW)]
+
+    def bound(self, q: Node, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        self.products += len(centre)
+        score = self.y[centre] @ self.x[q.centre]
+        return score + q.radius * self.size_y[centre] + radius * (self.size_x[q.centre] + q.radius)
+
+    def candidates(self, rows: np.ndarray, q: Node | None, c: Node) -> None:
+        """Queries ``rows``, of the node q if it is one, against a candidate node's children, the best first."""
+        if not len(rows):
+            return
+        # a few singles give a first worst score, so that whole balls can be pruned
+        self.singles(rows, q, c.single[:SEED])
+        if c.children:
+            centre, radius = np.array([x.centre for x in c.children]), np.array([x.radius for x in c.children])
+            if q is not None:
+                high = self.bound(q, centre, radius)
+                for i in np.argsort(-high, kind="stable").tolist():
+                    if high[i] < self.worst(rows) - self.slack:
+                        break
+                    if q.radius > c.children[i].radius and (q.children or len(q.single) < len(q.rows)):
+                        self.pair(q, rows, c.children[i])
+                    else:
+                        self.candidates(rows, q, c.children[i])
+            else:
+                self.products += len(rows) * len(centre)
+                high = self.x[rows] @ self.y[centre].T + radius[None, :] * self.size_x[rows][:, None]
+                for i in np.argsort(-high.max(0), kind="stable").tolist():
+                    some = high[:, i] >= self.score[rows, -1] - self.slack
+                    if some.any():
+                        self.candidates(rows[some], None, c.children[i])
+        self.singles(rows, q, c.single[SEED:])
+
+    def singles(self, rows: np.ndarray, q: Node | None, single: np.ndarray) -> None:
+        for i in range(0, len(single), ROW):
+            part = single[i : i + ROW]
+            if q is not None and len(rows) > 1 and q.radius < self.size_x[q.centre]:
+                high = self.bound(q, part, np.zeros(len(part)))
+                part = part[high >= self.worst(rows) - self.slack]
+            for j in range(0, len(rows), ROW):
+                self.base(rows[j : j + ROW], part)
+
+    def base(self, rows: np.ndarray, part: np.ndarray) -> None:
+        """Scores of single queries and single candidates."""
+        if not len(part):
+            return
+        self.products += len(rows) * len(part)
+        score = self.x[rows] @ self.y[part].T
+        score[self.query_ids[rows][:, None] == self.ids[part][None, :]] = -np.inf
+        gains = (score >= self.score[rows, -1][:, None]) & (score > -np.inf)
+        some = gains.any(1)
+        if not some.any():
+            return
+        rows, score = rows[some], np.where(gains[some], score[some], -np.inf)
+        found = np.concatenate([self.score[rows], score], 1)
+        which = np.concatenate([self.row[rows], np.broadcast_to(part, score.shape)], 1)
+        which = np.where(found > -np.inf, which, len(self.y))
+        order = np.lexsort((which, -found), axis=1)[:, : self.k]
+        self.score[rows], self.row[rows] = np.take_along_axis(found, order, 1), np.take_along_axis(which, order, 1)
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,14 +182,13 @@ def best(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids
 
     Of several query vectors of one id, a candidate row's best score holds.
     """
+    by = np.argsort(ids, kind="stable")  # ties go to the row that comes first
+    candidates, ids = candidates[by], ids[by]
+    walk = Search(queries, candidates, k, query_ids, ids)
+    walk.run()
     names, name = np.unique(query_ids, return_inverse=True)
-    held, copies = np.unique(ids, return_counts=True)
-    at = np.minimum(np.searchsorted(held, query_ids), len(held) - 1)
-    i, j, _ = search(queries, candidates, k, np.where(held[at] == query_ids, copies[at], 0))
-    other = query_ids[i] != ids[j]
-    i, j = i[other], j[other]
-    score = np.einsum("ij,ij->i", queries[i], candidates[j]).astype(np.int64)
-    i = name.reshape(-1)[i]
+    i, j = np.nonzero(walk.score > -np.inf)
+    i, j, score = name.reshape(-1)[i], walk.row[i, j], walk.score[i, j].astype(np.int64)
     order = np.lexsort((-score, j, i))
     i, j, score = i[order], j[order], score[order]
     once = np.concatenate(([True], (i[1:] != i[:-1]) | (j[1:] != j[:-1]))) if len(i) else np.zeros(0, bool)
@@ -150,13 +207,17 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", block: int = 2048, query_block: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", block: int = 4096, query_block: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: exact, each query against every row but its own.
 
     Components become floor(scale * x). Vectors of different lengths count as padded with zeros.
     Rows without a key or a usable vector take no part; a key's repeated rows are separate
     candidates, none of them for the key's own query. A key's repeated query rows are one query; where
-    their vectors differ, a candidate's best score holds. Ties go to the smaller key.
+    their vectors differ, a candidate's best score holds. Ties go to the smaller key. No rows give no
+    rows; other columns don't matter.
+
+    block, query_block: rows of a task's sides. A candidate is copied once per block of queries and a
+    query once per block of candidates, so rows moved are n * nq * (1 / block + 1 / query_block).
     """
     rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     n, nq = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).first()
