@@ -89,7 +89,6 @@ class Lattice:
         # bucket starts of the sorted hashes, for a lookup without a search
         self.begin = np.searchsorted(self.keys, np.arange((1 << bits) + 1, dtype=np.uint64) << self.shift).astype(np.int32)
         self.begin[-1] = len(self.keys)
-        self.deep = int(np.diff(self.begin).max())
 
     @staticmethod
     def _hash_of(raw: bytes) -> int:
@@ -104,12 +103,14 @@ class Lattice:
         """Place of each hash in the table, or -1."""
         slot = (h >> self.shift).astype(np.int64)
         at, stop = self.begin[slot], self.begin[slot + 1]
-        out = np.full(len(h), -1, np.int64)
-        for _ in range(self.deep):
-            inside = at < stop
-            hit = inside & (self.keys[np.minimum(at, len(self.keys) - 1)] == h)
-            out[hit] = at[hit]
-            at = at + 1
+        hit = (at < stop) & (self.keys[np.minimum(at, len(self.keys) - 1)] == h)
+        out = np.where(hit, at, -1).astype(np.int64)
+        rest = np.flatnonzero(~hit & (at + 1 < stop))  # the few buckets of several entries
+        while len(rest):
+            at[rest] += 1
+            hit = self.keys[at[rest]] == h[rest]
+            out[rest[hit]] = at[rest[hit]]
+            rest = rest[~hit & (at[rest] + 1 < stop[rest])]
         return out
 
     def sample(self, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,92 +173,101 @@ class Lattice:
     def _edges(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, known: np.ndarray | None = None) -> tuple[tuple, np.ndarray]:
         """Forward filtering of distinct chunks: per position, its edges' cumulated shares.
 
-        Position p of chunk c is row base[c] + p; a row's edges end there. Returns (base, first edge
+        Rows are positions of chunks, position by position, the longest chunk first: position p of the
+        chunk of rank c is row base[p] + c; a row's edges end there. Returns (base, ranks, first edge
         of each row, row and cumulated share as one number, length, index of the piece or -1 - byte),
         and the logarithm of every row's sum. known: these of the first rows of the only chunk.
         """
-        base = np.concatenate([[0], np.cumsum(size + 1)])
+        by = np.argsort(-size, kind="stable")
+        rank = np.empty(len(size), np.int64)
+        rank[by] = np.arange(len(size))
+        longest = int(size.max())
+        # chunks that have position p; the first of p + 1 are the first of p
+        having = len(size) - np.searchsorted(np.sort(size), np.arange(longest + 2), "left")
+        base = np.concatenate([[0], np.cumsum(having)])
         rows = int(base[-1])
         alpha = np.full(rows, -np.inf)
-        alpha[base[:-1]] = 0.0
+        alpha[: len(size)] = 0.0
         before = 0
         if known is not None:
             alpha[: len(known)], before = known, len(known) - 1
-        longest, total = int(size.max()), int(size.sum())
-        chunk = np.repeat(np.arange(len(size)), size)
-        offset = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        where, room, first = starts[chunk] + offset, size[chunk] - offset, base[chunk] + offset
-        # byte edges; then all substrings that a piece begins with: hashes grow byte by byte
-        e_start, e_len, e_id, e_w = [np.arange(total)], [np.zeros(total, np.int64)], [-1 - data[where].astype(np.int64)], [np.full(total, self.byte_weight)]
+        # edges start at all positions but the last: substrings that a piece begins with grow byte by byte
+        depth = np.repeat(np.arange(longest), having[1 : longest + 1])
+        total = len(depth)
+        chunk = np.arange(total) - np.concatenate([[0], np.cumsum(having[1:longest])])[depth]
+        source = (base[depth] + chunk).astype(np.int32)
+        sized, where = size[by][chunk], starts[by][chunk] + depth
+        room = sized - depth
+        salted = _SALT[data[where]]
+        # byte edges, slot 0, go to the next position
+        groups = [(base[depth + 1] + chunk, source, 1, -1 - data[where].astype(np.int32), None)]
         h, live = np.zeros(total, np.uint64), np.arange(total)
         for k in range(1, min(self.longest, longest) + 1):
-            inside = room[live] >= k
-            live, h = live[inside], h[inside]
-            if not len(live):
-                break
+            if k > 1:
+                inside = room[live] >= k
+                live, h = live[inside], h[inside]
+                if not len(live):
+                    break
+                salted = _SALT[data[where[live] + k - 1]]
             with np.errstate(over="ignore"):
-                h = (h + _SALT[data[where[live] + k - 1]]) * _STEP
+                h = (h + salted) * _STEP
                 h ^= h >> np.uint64(29)
             place = self.lookup(h)
-            known = place >= 0
-            live, h, found = live[known], h[known], self.entry[place[known]]
-            piece = found >= 0
-            e_start.append(live[piece])
-            e_len.append(np.full(int(piece.sum()), k))
-            e_id.append(found[piece])
-            e_w.append(self.weight[found[piece]])
-        start, slot, ids, weight = map(np.concatenate, (e_start, e_len, e_id, e_w))
-        length = np.maximum(slot, 1)  # slot 0 is the byte edge
-        row, depth = first[start] + length, offset[start] + length
+            found = place >= 0
+            live, h, entry = live[found], h[found], self.entry[place[found]]
+            piece = entry >= 0
+            some, entry = live[piece], entry[piece]
+            groups.append((base[depth[some] + k] + chunk[some], source[some], k, entry.astype(np.int32), self.weight[entry]))
         if before:
-            new = depth > before
-            start, slot, ids, weight, length, row, depth = (x[new] for x in (start, slot, ids, weight, length, row, depth))
-        order = np.argsort((depth * rows + row) * 64 + slot)
-        row, length, weight, depth = row[order], length[order], weight[order], depth[order]
-        ids, slot = ids[order], slot[order]
+            groups = [(row[new], src[new], k, ids[new], None if w is None else w[new]) for row, src, k, ids, w in groups for new in [row > before]]
+        # an edge's place: behind the shorter ones that end in its row; a length ends in a row once
+        filled = np.zeros(rows, np.int64)
+        for row, *_ in groups:
+            filled[row] += 1
+        begin = np.concatenate([[0], np.cumsum(filled)])
+        edges = int(begin[-1])
+        source, length, ids, weight = np.empty(edges, np.int32), np.empty(edges, np.int16), np.empty(edges, np.int32), np.empty(edges)
+        filled[:] = begin[:-1]
+        for row, src, k, entry, w in groups:
+            at = filled[row]
+            filled[row] += 1
+            source[at], length[at], ids[at], weight[at] = src, k, entry, self.byte_weight if w is None else w
         # forward filtering, position by position for all chunks
-        at = np.searchsorted(depth, np.arange(1, longest + 2))
-        share = np.empty(len(row))
-        for p in range(before, longest):
-            part = slice(at[p], at[p + 1])
-            r = row[part]
-            value = alpha[r - length[part]] + weight[part]
-            new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-            count = np.diff(np.append(new, len(r)))
+        share = np.empty(edges)
+        for p in range(before + 1, longest + 1):
+            lo, hi = base[p], base[p + 1]
+            part = slice(begin[lo], begin[hi])
+            value = alpha[source[part]] + weight[part]
+            new, count = begin[lo:hi] - begin[lo], begin[lo + 1 : hi + 1] - begin[lo:hi]
             top = np.maximum.reduceat(value, new)
             e = np.exp(value - np.repeat(top, count))
             sum_ = np.add.reduceat(e, new)
-            alpha[r[new]] = top + np.log(sum_)
+            alpha[lo:hi] = top + np.log(sum_)
             share[part] = e / np.repeat(sum_, count)
-        # by rows; a row's edges are already together
-        begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
-        new = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        count = np.diff(np.append(new, len(row)))
-        order = np.empty(len(row), np.int64)
-        order[np.arange(len(row)) + np.repeat(begin[row[new]] - new, count)] = np.arange(len(row))
-        row, length, ids, share = row[order], length[order], ids[order], share[order]
         # whole numbers, so that sums don't depend on the other chunks of a batch
         run = np.cumsum((share * SHARE).astype(np.int64))
-        earlier = np.concatenate([[0], run])[begin[row]]
-        return (base, begin, row * (2 * SHARE) + (run - earlier), length, ids), alpha
+        earlier = np.concatenate([[0], run])[begin[:-1]]
+        of = np.repeat(np.arange(rows) * (2 * SHARE) - earlier, np.diff(begin))
+        return (base, rank, begin, of + run, length, ids), alpha
 
     def _walk(self, edge: tuple, starts: np.ndarray, size: np.ndarray, which: np.ndarray, first: np.ndarray, salt: np.ndarray, stop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places and pieces of all chunks, from their ends to ``stop``, and what is left of each.
 
         first, salt: of each chunk's text.
         """
-        base, begin, cumulated, length, ids = edge
+        base, rank, begin, cumulated, length, ids = edge
+        place = rank[which]
         left = size.copy()
         active = np.argsort(which, kind="stable")  # neighbours look up neighbouring rows
         out_at, out_id = [], []
         while len(active):
-            row = base[which[active]] + left[active]
+            row = base[left[active]] + place[active]
             # the draw at a text position: hash of key, seed and the position in the text
             position = (starts[active] + left[active] - first[active]).astype(np.uint64)
             draw = (mix(salt[active] + position, 53) >> np.uint64(64 - SHARE_BITS)).astype(np.int64)
             pick = np.searchsorted(cumulated, row * (2 * SHARE) + draw, "right")
             pick = np.clip(pick, begin[row], begin[row + 1] - 1)
-            step = length[pick]
+            step = length[pick].astype(np.int64)
             left[active] -= step
             out_at.append(starts[active] + left[active])
             out_id.append(ids[pick])
@@ -284,7 +294,8 @@ def encode(docs: DataFrame, seed: int = 0, theta: float = 1.0, path: str | None
     Returns ``key, ids`` (array<int>, if asked for), ``n_pieces, n_bytes, ids_crc32,
     lossless``; the last tells whether decoding the ids gave the text back. A null text counts as
     empty and has no ids. A null key is sampled as key -1. Rows that repeat a key are sampled alike
-    where their texts are. Keys must be integers. source: name of a column
+    where their texts are. Keys must be integers. Long texts are sampled whole. No rows give no rows, and
+    other columns don't matter. source: name of a column
     to return the text in, for a check by ``decode``; there is no ``lossless`` then.
     """
     bounded_batches(docs.sparkSession)
@@ -297,7 +308,7 @@ def encode(docs: DataFrame, seed: int = 0, theta: float = 1.0, path: str | None
             keys = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             i = 0
             while i < len(keys):
-                j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 19), "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), "right")) - 1)
                 data, bounds = raw[at[i] : at[j]], at[i : j + 1] - at[i]
                 ids, count = model.sample(data, bounds, keys[i:j], seed)
                 cut = np.concatenate([[0], np.cumsum(count)])
