@@ -48,6 +48,8 @@ FAR, CORE = 28, 18
 DENSE = 1 / 16
 #: Sets, and shingles in all, of a block that is compared exactly with another.
 BLOCK, SHINGLES = 2048, 1 << 19
+#: Smaller blocks spread a component over more tasks, up to so many blocks of at least so many sets.
+BLOCKS, LEAST = 20, 128
 #: Bytes of text, and columns of a block's incidence matrix, that a worker handles at a time.
 CHUNK, COLUMNS = 1 << 18, 2048
 #: Shingles in at most so many sets of a block are counted pair by pair, others by matrix products.
@@ -350,7 +352,8 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None)
 
 def _dealt(members: DataFrame) -> DataFrame:
     """Deal a component's sets to pairs of blocks: adds ``task``, ``side`` (0 left, 1 right, 2 both) and ``whole`` (there is one block)."""
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / SHINGLES), F.lit(1)).cast("int")
+    spread_out = F.least(F.ceil(F.col("n") / LEAST), F.lit(BLOCKS))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / SHINGLES), spread_out, F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("_nb")).cast("int")
     pairs = members.withColumn("_nb", blocks).withColumn("_mine", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_other"))
     side = F.when(F.col("_mine") == F.col("_other"), 2).when(F.col("_mine") < F.col("_other"), 0).otherwise(1)
