@@ -240,3 +240,44 @@ def test_shards_of_odd_rows(spark, tok):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids) // 4, zlib.crc32(ids))
         at += len(ids) // 4
     assert token_files.read_shards(token_files.write_shards(no_docs(spark))).count() == 0
+
+
+def apart(sequence, barrier):
+    """How often each pair can be replaced without overlaps."""
+    count, last = Counter(), {}
+    for i, pair in enumerate(itertools.pairwise(sequence)):
+        if barrier not in pair and last.get(pair, -2) < i - 1:
+            count[pair] += 1
+            last[pair] = i
+    return count
+
+
+def test_no_frequent_pair_is_left():
+    r = np.random.default_rng(2)
+    phrase = r.integers(0, 50, 700)  # more than 2**6 ids that repeat: rounds go on
+    cases = [r.integers(0, 6, 3000), np.concatenate([phrase] * 9), np.zeros(1000, int), np.array([1, 1, 1, 1, 1, 2, 1, 1, 1]), np.zeros(0, int), np.array([3]), r.integers(0, 300, 5000)]
+    for ids in cases:
+        ids = ids.astype("<u4")
+        sequence, rules, lengths = token_files.compress(ids, 1001, 1000)
+        assert (token_files.expand(sequence, rules, 1001) == ids).all()
+        assert max(apart(sequence.tolist(), 1000).values(), default=0) < 4
+        assert len({tuple(x) for x in rules.tolist()}) == len(rules)
+    sequence, _, lengths = token_files.compress(cases[1].astype("<u4"), 1001, 1000)
+    assert lengths.max() >= 700 and len(sequence) < 40
+
+
+def test_pairs_found_by_several_tables():
+    r = np.random.default_rng(3)
+    pair = r.integers(0, 1 << 40, 4000).astype(np.uint64)
+    kinds = r.permutation(np.unique(pair))[:3000]
+    place = {k: i for i, k in enumerate(kinds.tolist())}
+    assert token_files._ranks(pair, kinds).tolist() == [place.get(p, token_files._FAR) for p in pair.tolist()]
+
+
+def test_a_hot_key_and_extreme_keys(spark):
+    rows = [(None, f"no key {i}") for i in range(60)] + [(7, f"seven {i}") for i in range(60)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "most"), (0, "zero")]
+    shards = token_files.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), shard_ids=20)
+    assert shards.groupBy("first_key").count().where("first_key = 7").first()[1] > 3
+    got = sorted(token_files.read_shards(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [k for k, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]

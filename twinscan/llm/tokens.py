@@ -36,7 +36,7 @@ def default_path() -> str:
 class WordTokenizer:
     """``ids(texts)`` yields each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, memo: int = 600_000) -> None:
+    def __init__(self, path: str, memo: int = 1_600_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
@@ -66,39 +66,35 @@ class WordTokenizer:
         return [held[i:j] for i, j in zip(at, at[1:], strict=False)]
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of ``chunks``; the memo may lose other entries."""
+        """Ids of ``chunks``, among others; the memo may lose other entries."""
         if len(self.young) > self.half:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        out: dict[str, bytes] = {}
         runs: set[str] = set()
         joined, other = [], []
-        for x in chunks:
-            got = young.get(x)
-            if got is None:
-                got = old.get(x)
-                if got is None:
-                    core = x.rstrip(_MARKS)
-                    if (core.islower() and core.isalpha() and (core.isascii() or max(core) < _LATIN)) or not core:
-                        rest = x[len(core) :]
-                        joined.append((x, core, rest))
-                        runs.update(y for y in (core, rest) if y)
-                    else:
-                        other.append(x)
-                    continue
+        for x in chunks.difference(young):
+            got = old.get(x)
+            if got is not None:
                 young[x] = got
-            out[x] = got
-        new = [x for x in runs if x not in young]
+                continue
+            core = x.rstrip(_MARKS)
+            if (core.islower() and core.isalpha() and (core.isascii() or max(core) < _LATIN)) or not core:
+                joined.append((x, core, x[len(core) :]))
+                runs.add(core)
+                runs.add(x[len(core) :])
+            else:
+                other.append(x)
+        runs.discard("")
+        new = list(runs.difference(young))
         for i in range(0, len(new), 8192):
             young.update(zip(new[i : i + 8192], self._runs(new[i : i + 8192]), strict=True))
         for x, core, rest in joined:
-            out[x] = young[x] = young[core] + young[rest] if core and rest else young[x]
+            if core and rest:
+                young[x] = young[core] + young[rest]
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
-            got = dict(zip(part, self.whole(part), strict=True))
-            out |= got
-            young |= got
-        return out
+            young.update(zip(part, self.whole(part), strict=True))
+        return young
 
     def ids(self, texts: Iterable[str | None], characters: int = 1 << 20) -> Iterator[bytes]:
         """A null text counts as empty. Works through about ``characters`` at a time."""
