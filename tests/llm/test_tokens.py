@@ -175,10 +175,10 @@ def test_completion_is_best_on_small_cases():
     r = random.Random(1)
     for _ in range(60):
         lengths = sorted((r.randint(10, 60) for _ in range(r.randint(1, 9))), reverse=True)
-        found, bound = packing.complete(Counter(lengths), 100)
+        found, bound = packing.complete(Counter(lengths), 100, None)
         n = check(found, Counter(lengths), 100)
         assert bound <= n <= check(packing.best_fit(Counter(lengths), 100), Counter(lengths), 100)
-        assert n == fewest(lengths, 100)
+        assert n == fewest(lengths, 100) == bound
 
 
 def test_completion_beats_best_fit():
@@ -188,6 +188,44 @@ def test_completion_beats_best_fit():
     assert check(found, lengths, 4096) < check(packing.best_fit(lengths, 4096), lengths, 4096)
 
 
+def plainly_dominated(filling, room, others):
+    slack = room - sum(filling)
+    for n in range(1, len(filling) + 1):
+        for part in itertools.combinations(filling, n):
+            for x in others:
+                if sum(part) <= x <= sum(part) + slack and not (n == 1 and part[0] == x):
+                    return True
+    return False
+
+
+def test_fillings_are_all_undominated_ones():
+    r = random.Random(6)
+    for _ in range(150):
+        room = r.randint(5, 40)
+        counts = Counter(r.randint(1, 30) for _ in range(r.randint(1, 9)))
+        counts.pop(room, None)
+        least = r.randint(0, room)
+        want = set()
+        for taken in itertools.product(*[range(n + 1) for n in counts.values()]):
+            filling = tuple(sorted((s for s, n in zip(counts, taken, strict=True) for _ in range(n)), reverse=True))
+            others = [s for s, n in zip(counts, taken, strict=True) if counts[s] > n]
+            if least <= sum(filling) <= room and not plainly_dominated(filling, room, others) and not any(s <= room - sum(filling) for s in others):
+                want.add(filling)
+        got = list(packing.fillings(counts, sorted(counts), room, least))
+        assert len(set(got)) == len(got) and set(got) == want
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_lower_bound_counts_lengths_that_cannot_share():
+    assert packing.lower_bound({60: 7, 30: 1}, 100) == 7
+    r = random.Random(7)
+    for _ in range(60):
+        lengths = [r.randint(1, 70) for _ in range(r.randint(1, 8))]
+        assert packing.lower_bound(Counter(lengths), 100) <= fewest(sorted(lengths, reverse=True), 100)
+    found, bound = packing.complete({60: 7, 45: 5}, 100, None)
+    assert sum(b.times for b in found) == bound == 10
+
+
 def test_packing_of_odd_rows(spark, tok):
     rows = packing.pack(odd_docs(spark), limit=512).collect()
     by = {}
@@ -208,6 +246,13 @@ def test_packing_of_odd_rows(spark, tok):
     assert packing.pack(no_docs(spark)).count() == 0
 
 
+def test_places_keep_columns_of_any_name(spark):
+    cut = spark.createDataFrame([(1, 0, 5, "a", 1), (2, 0, 5, "b", 2), (3, 0, 3, "c", 3), (3, 0, 3, "c", 3)], "doc_id long, piece int, length long, _at string, _BUCKET int")
+    got = packing.place(cut, 8).collect()
+    assert [(r.doc_id, r._at, r._BUCKET) for r in sorted(got)] == [(1, "a", 1), (2, "b", 2), (3, "c", 3), (3, "c", 3)]
+    assert sorted((r.sequence_id, r.offset, r.length) for r in got) == [(0, 0, 5), (0, 5, 3), (1, 0, 5), (1, 5, 3)]
+
+
 # ------------------------------------------------------------------ shards of ids
 
 

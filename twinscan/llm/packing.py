@@ -4,10 +4,11 @@ Pieces of one length are interchangeable, so the problem the driver solves has a
 size classes however many documents there are. It is solved on that histogram:
 
 * best-fit decreasing, whole runs of a size at a time, gives the first incumbent;
-* if it needs more sequences than the volume bound, bin completion searches on: take the largest
-  length left, enumerate the undominated fillings of the room beside it, fullest first, apply one
-  as often as the classes allow, and go on; branches whose waste already rules out a better packing
-  than the incumbent are cut. A node budget ends the search; the incumbent is then the answer.
+* if it needs more sequences than the lower bound (of volume, or of lengths that can't share a
+  sequence), bin completion searches on: take the largest length left, enumerate all undominated
+  fillings of the room beside it, fullest first, apply one as often as the classes allow, then less
+  often, and go on depth first; branches whose waste rules out a better packing than the incumbent are
+  cut. The search ends with a proven optimum, or after ``nodes`` nodes with the incumbent.
 
 The solution is a list of runs per length, and every row finds its place by its rank in its length.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, rank_within
+from .common import bounded_batches, materialize, rank_within, unused
 from .tokens import default_path, tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -108,92 +109,148 @@ def best_fit(histogram: dict[int, int], limit: int) -> list[Bin]:
     return [Bin(n, content) for held in room.values() for content, n in held.items()]
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int, least: int = 0) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first, at most ``most``.
+def _sums(counts: dict[int, int], sizes: list[int], room: int) -> list[int]:
+    """Bit sets: sums up to ``room`` of the first i of the ``sizes``, for every i."""
+    mask, held, out = (1 << (room + 1)) - 1, 1, [1]
+    for size in sizes:
+        n, k = min(counts[size], room // size), 1
+        while n > 0:
+            times = min(k, n)
+            held |= (held << (size * times)) & mask
+            n, k = n - times, 2 * k
+        out.append(held)
+    return out
+
+
+def dominated(filling: tuple[int, ...], room: int, others: int) -> bool:
+    """Whether a length of the bit set ``others`` fits in besides, or could take the place of some of the filling's.
 
-    sizes: ascending, those with a count. A filling is maximal (nothing more fits). One is dominated
-    if it equals another but for a single length that is larger there; taking the largest
-    length that fits at each depth first and only one alternative per sum leaves those out.
-    Fillings below ``least`` are not returned: their waste rules out an improvement.
+    The latter is so if it is at least as large as their sum and fits into their place and the room left,
+    but for one length in the place of an equal one.
     """
-    found: dict[int, tuple[int, ...]] = {}
-    steps = 0
-
-    def go(rest: int, below: int, taken: tuple[int, ...]) -> bool:
-        nonlocal steps
-        steps += 1
-        at = bisect_left(sizes, min(rest, below) + 1) - 1
-        while at >= 0 and taken.count(sizes[at]) >= counts[sizes[at]]:
-            at -= 1
-        if at < 0 or steps > 400:
-            if room - rest >= least:
-                found.setdefault(room - rest, taken)
-            return room - rest == room or len(found) >= 4 * most or steps > 400
-        tried = 0
-        while at >= 0 and tried < 6:
-            size = sizes[at]
-            if taken.count(size) < counts[size]:
-                tried += 1
-                if go(rest - size, size, (*taken, size)):
-                    return True
-            at -= 1
-        return False
-
-    exact = room in counts and counts[room] > 0
-    if exact:
-        found[room] = (room,)
-    else:
-        go(room, room, ())
-    return [found[x] for x in sorted(found, reverse=True)[:most]]
-
-
-def complete(histogram: dict[int, int], limit: int, nodes: int = 20_000, open_branches: int = 256) -> tuple[list[Bin], int]:
-    """Pack by bin completion; returns the sequences and the volume bound.
-
-    nodes, open_branches: bounds of the search's effort and memory. Every piece is packed whatever they are.
+    if others & ((1 << (room - sum(filling) + 1)) - 1):
+        return True
+    one = many = 0
+    for size in filling:
+        many |= (many << size) | (one << size)
+        one |= 1 << size
+    slack = room - sum(filling)
+    larger = 0  # the same sums and 1 to ``slack`` more
+    if slack:
+        larger, width = one | many, 1
+        while 2 * width <= slack:
+            larger, width = larger | (larger << width), 2 * width
+        larger = (larger | (larger << (slack - width))) << 1
+    return bool(others & (many | larger))
+
+
+def fillings(counts: dict[int, int], sizes: list[int], room: int, least: int = 0) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` that sum to at least ``least``, fullest first.
+
+    sizes: ascending, those with a count. Sums that the lengths can't reach are never tried.
     """
+    if counts.get(room, 0) > 0:
+        yield (room,)  # dominates all others
+        return
+    sizes = sizes[: bisect_left(sizes, room + 1)]
+    sums = _sums(counts, sizes, room)
+    others = sum(1 << s for s in sizes)
+
+    def exact(rest: int, below: int) -> Iterator[tuple[int, ...]]:
+        if not rest:
+            yield ()
+            return
+        for i in range(min(below, bisect_left(sizes, rest + 1)) - 1, -1, -1):
+            if not sums[i + 1] >> rest & 1:
+                return  # nor do fewer sizes reach it
+            size = sizes[i]
+            for n in range(min(counts[size], rest // size), 0, -1):
+                if sums[i] >> (rest - n * size) & 1:
+                    for more in exact(rest - n * size, i):
+                        yield (size,) * n + more
+
+    for total in range(room, max(least, 0) - 1, -1):
+        if sums[-1] >> total & 1:
+            for filling in exact(total, len(sizes)):
+                used_up = sum(1 << s for s in set(filling) if filling.count(s) == counts[s])
+                if not dominated(filling, room, others & ~used_up):
+                    yield filling
+
+
+def lower_bound(histogram: dict[int, int], limit: int) -> int:
+    """The larger of the volume bound and Martello and Toth's: lengths above limit - x can't share with those of x and more."""
+    sizes = sorted(histogram)
     total = sum(s * n for s, n in histogram.items())
     bound = -(-total // limit)
+    for x in [s for s in sizes if 2 * s <= limit]:
+        alone = sum(histogram[s] for s in sizes if s > limit - x)
+        half = [s for s in sizes if limit < 2 * s and s <= limit - x]
+        n = sum(histogram[s] for s in half)
+        free = n * limit - sum(s * histogram[s] for s in half)
+        small = sum(s * histogram[s] for s in sizes if x <= s and 2 * s <= limit)
+        bound = max(bound, alone + n + max(0, -(-(small - free) // limit)))
+    return max(bound, sum(histogram[s] for s in sizes if 2 * s > limit))
+
+
+def complete(histogram: dict[int, int], limit: int, nodes: int | None = 20_000) -> tuple[list[Bin], int]:
+    """Pack by bin completion; returns the sequences and a lower bound of their number.
+
+    nodes: a bound of the search's effort; None searches until the optimum is proven. Every piece
+    is packed whatever it is.
+    """
+    total = sum(s * n for s, n in histogram.items())
     best = best_fit(histogram, limit)
     most = sum(b.times for b in best)
-
-    def apply(counts: dict[int, int], largest: int, filling: tuple[int, ...]) -> tuple[Bin, int]:
-        content = (largest, *filling)
-        need: dict[int, int] = {}
-        for s in content:
-            need[s] = need.get(s, 0) + 1
-        times = min(counts[s] // n for s, n in need.items())
-        for s, n in need.items():
-            counts[s] -= n * times
-        return Bin(times, content), times * (limit - sum(content))
-
-    # A branch: counts, linked list of sequences so far, their number, their waste, next filling.
-    branches: list[tuple] = [(dict(histogram), None, 0, 0, None)] if most > bound else []
-    while branches and nodes > 0 and most > bound:
-        counts, done, used, waste, filling = branches.pop()
+    if most == -(-total // limit):
+        return best, most
+    bound = lower_bound(histogram, limit)
+    counts = dict(histogram)
+    used = waste = 0
+
+    def options() -> Iterator[Bin]:
+        """Sequences around the largest length left, each as often as possible first."""
         sizes = [s for s in sorted(counts) if counts[s]]
-        while sizes and nodes > 0:
+        largest = sizes[-1]
+        room = limit - largest
+        spare = (most - 1) * limit - total - waste  # what may still go unused
+        if spare < 0:
+            return
+        held = {s: counts[s] for s in sizes}
+        held[largest] -= 1
+        for filling in fillings(held, [s for s in sizes if held[s]], room, room - spare):
+            lengths = (largest, *filling)
+            for times in range(min(counts[s] // lengths.count(s) for s in set(lengths)), 0, -1):
+                yield Bin(times, lengths)
+
+    def turn(b: Bin, sign: int) -> None:
+        nonlocal used, waste
+        for s in b.lengths:
+            counts[s] -= sign * b.times
+        used += sign * b.times
+        waste += sign * b.times * (limit - sum(b.lengths))
+
+    path: list[Bin] = []
+    open_ = [options()] if most > bound else []
+    while open_ and most > bound:
+        if len(path) == len(open_):
+            turn(path.pop(), -1)
+        step = next(open_[-1], None)
+        if step is None:
+            open_.pop()
+            continue
+        if nodes is not None:
             nodes -= 1
-            largest = sizes[-1]
-            spare = (most - 1) * limit - total - waste  # what may still go unused
-            if filling is None:
-                counts[largest] -= 1
-                options = fillings(counts, sizes, limit - largest, 3, limit - largest - spare) if spare >= 0 else []
-                counts[largest] += 1
-                if not options:
-                    break
-                filling, *others = options
-                if len(branches) < open_branches:
-                    branches += [(dict(counts), done, used, waste, x) for x in reversed(others)]
-            one, lost = apply(counts, largest, filling)
-            done, used, waste, filling = (one, done), used + one.times, waste + lost, None
-            sizes = [s for s in sizes if counts[s]]
-        if not sizes and used < most:
-            most, best = used, []
-            while done:
-                best.append(done[0])
-                done = done[1]
-    return best, bound
+            if nodes < 0:
+                break
+        turn(step, 1)
+        path.append(step)
+        if (most - 1) * limit - total - waste < 0:
+            continue
+        if any(counts.values()):
+            open_.append(options())
+        elif used < most:
+            most, best = used, list(path)
+    return best, max(bound, most) if not open_ else bound
 
 
 def runs(bins: list[Bin]) -> list[tuple[int, int, int, int, int, int]]:
@@ -216,27 +273,32 @@ def runs(bins: list[Bin]) -> list[tuple[int, int, int, int, int, int]]:
 def place(cut: DataFrame, limit: int = 4096, length: str = "length", order: list[str] | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` from 1 to ``limit``.
 
-    ``cut`` is read twice: it should be a written table.
+    ``cut`` is read twice: it should be a written table. Rows equal in ``order`` are interchangeable; other
+    columns are kept, whatever their names. No rows give no rows.
     """
     spark = cut.sparkSession
     histogram = {r[0]: r[1] for r in cut.groupBy(length).count().collect()}  # at most ``limit`` rows
     plan, _ = complete(histogram, limit)
-    kind = T.StructType([T.StructField(x, T.LongType(), False) for x in (length, "_lo", "_hi", "_seq", "_in", "_off")])
+    at, lo, hi, seq, each, off = unused(cut.columns, "_at", "_lo", "_hi", "_seq", "_in", "_off")
+    kind = T.StructType([T.StructField(x, T.LongType(), False) for x in (length, lo, hi, seq, each, off)])
     where = spark.createDataFrame(runs(plan), kind)
-    rank = F.col("_at") - F.col("_lo")
+    rank = F.col(at) - F.col(lo)
     return (
-        rank_within(cut, [length], order or ["doc_id", "piece"], "_at")
+        rank_within(cut, [length], order or ["doc_id", "piece"], at)
         .join(where, length)
-        .where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
-        .withColumn("sequence_id", F.col("_seq") + F.floor(rank / F.col("_in")))
-        .withColumn("offset", F.col("_off") + F.pmod(rank, F.col("_in")) * F.col(length))
-        .select(*cut.columns, "sequence_id", "offset")
+        .where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi)))
+        .select(
+            *cut.columns,
+            (F.col(seq) + F.floor(rank / F.col(each))).alias("sequence_id"),
+            (F.col(off) + F.pmod(rank, F.col(each)) * F.col(length)).alias("offset"),
+        )
     )
 
 
 def pack(docs: DataFrame, limit: int = 4096, path: str | None = None) -> DataFrame:
     """Pack all documents: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    A null text counts as empty. Repeated rows are packed each. No rows give no rows.
+    A null text counts as empty, a null key stays null. Repeated rows are packed each. Long texts are cut
+    into pieces of ``limit``. No rows give no rows; other columns don't matter.
     """
     return place(materialize(pieces(docs, limit, path), "pieces"), limit)
