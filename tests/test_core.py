@@ -28,7 +28,7 @@ def oracle(tiny):
     return con
 
 
-@pytest.mark.parametrize("name", ["scan_classify", "path_parts", "luminance_ahash", "hash_popcount", "hamming_pairs_all", "hamming_pairs_top", "head_tail_pairs", "duration_bands", "constellation", "audio_pairs", "audio_pairs_ratio", "dup_components", "select_big_area", "group_shrink", "sampling_plan", "cache_lookup_miss", "cover_id", "isbn_extract", "xml_metadata"])
+@pytest.mark.parametrize("name", ["scan_classify", "path_parts", "luminance_ahash", "hash_popcount", "hamming_pairs_all", "hamming_pairs_top", "head_tail_pairs", "duration_bands", "constellation", "audio_pairs", "audio_pairs_ratio", "dup_components", "select_big_area", "group_shrink", "sampling_plan", "cache_lookup_miss", "peak_need", "result_rows", "peak_hits", "cover_id", "isbn_extract", "xml_metadata"])
 def test_oracle(spark, tiny, oracle, name):
     got = catalog.QUERIES[name](spark, tiny)
     columns = sorted(got.columns)
@@ -98,6 +98,55 @@ def test_banded_join_equals_theta(spark, mask, limit):
     assert got == want and (want or limit < 2)
 
 
+@pytest.mark.parametrize("n", [10, 10**5, 10**9])
+@pytest.mark.parametrize("limit, mask", [(20, None), (6, S.AREA_MASKS[1]), (8, 0xFFFFFFFF), (1, None), (2, 0b101)])
+def test_pigeonhole_join_for_any_number_of_bands(spark, limit, mask, n):
+    r = random.Random(limit)
+    rows = [(i, r.getrandbits(64)) for i in range(40)]
+    rows += [(100 + i, h ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 21)))) for i, h in rows]
+    signed = [(i, h - (1 << 64) if h >> 63 else h) for i, h in rows]
+    seen = spark.createDataFrame(signed, "id long, h long").select("h").distinct()
+    got = {(x.ha, x.hb) for x in pairs.hash_pairs(seen, limit, mask, [], n).collect()}
+    full = (1 << 64) - 1 if mask is None else mask
+    held = sorted({h for _, h in signed})
+    assert got == {(a, b) for i, a in enumerate(held) for b in held[i:] if bin((a ^ b) & full).count("1") < limit}
+    bands = pairs.bands_of(limit, mask, pairs.band_count(n, limit, mask))
+    assert all(bands) and sum(bands) == full
+    with pytest.raises(ValueError):
+        pairs.hash_pairs(seen, 4, 0b101, [], 10)
+
+
+def test_links_connect_what_pairs_do(spark):
+    r = random.Random(11)
+    base = [r.getrandbits(63) for _ in range(12)]
+    rows = [(i, i, r.choice(base) ^ (1 << r.randrange(63) if r.random() < 0.3 else 0)) for i in range(90)] + [(500, 500, None)]
+    df = spark.createDataFrame(rows, "id long, ord long, h long")
+    links = pairs.hamming_links(df, 3)
+    whole = components(pairs.hamming_pairs(df, 3), "id_a", "id_b")
+    assert sorted(components(links, "id_a", "id_b").collect()) == sorted(whole.collect())
+    assert links.count() < pairs.hamming_pairs(df, 3).count()
+    assert pairs.hamming_links(df, 0).count() == 0
+
+
+def test_numbering_by_ranges(spark):
+    r = random.Random(12)
+    rows = [(r.choice("ab"), f"{r.randrange(10**6):06d}") for _ in range(300)]
+    got = files.range_numbered(spark.createDataFrame(rows, "kind string, path string"), ["kind"], "path", "ord").collect()
+    for kind in "ab":
+        mine = sorted((x.ord, x.path) for x in got if x.kind == kind)
+        assert [o for o, _ in mine] == list(range(1, len(mine) + 1))
+        assert [p for _, p in mine] == sorted(p for k, p in rows if k == kind)
+
+
+def test_frequent_hashes_are_split(spark, monkeypatch):
+    r = random.Random(13)
+    rows = [(i, i, h, r.randint(1, 3)) for i in range(40) for h in ("hot", *r.sample("abcdef", 2))]
+    df = spark.createDataFrame(rows, "id long, ord long, hash string, n long")
+    want = sorted(peaks.shared_peaks(df).collect())
+    monkeypatch.setattr(peaks, "SPLIT", 7)
+    assert sorted(peaks.shared_peaks(df).collect()) == want and len(want) == 40 * 39 // 2
+
+
 def test_bands_and_edges(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 9.0, 10.0, 60.0, 120.0, 121.0, 300.0, 600.0, 1500.0, 3000.0, 28800.0, 28801.0)], "length double")
     got = {}
@@ -179,8 +228,21 @@ def test_paths(spark):
     df = spark.createDataFrame([(n,) for n in names], "p string")
     got = {r.p: r.k for r in df.select("p", paths.kinds(F.col("p"), S.Settings(proc_image=True, proc_ebook=True)).alias("k")).collect()}
     assert got == {"a.JPG": ["image"], "noext": [], "dir.png/file": [], "x.tar.mp4": ["video"], ".hidden": [], "é.mp3": ["audio"], "it's.pdf": ["ebook"], "/a": [], "/d/e.ts": ["video"]}
-    sized = spark.createDataFrame([(0,), (999,), (1000,), (1_999_999,), (5_000_000_000,)], "s long").select(paths.human_size(F.col("s")).alias("h"))
-    assert [r.h for r in sized.collect()] == ["0 bytes", "999 bytes", "1.0 kB", "1.9 MB", "5.0 GB"]
+
+
+def test_sizes_are_printed_as_a_double_with_one_place(spark):
+    r = random.Random(9)
+    sizes = [0, 1, 2, 999, 1000, 1050, 1250, 1350, 1450, 1650, 1750, 999_949, 999_950, 999_999, 1_999_999, 5_000_000_000, 9_223_372_036_854_775_807]
+    sizes += [100 * r.randrange(10, 10_000) + 50 for _ in range(400)] + [50_000 * (2 * r.randrange(10, 10_000) + 1) for _ in range(400)] + [r.randrange(10**15) for _ in range(200)]
+
+    def plain(size):
+        if size < 1000:
+            return f"{size} byte" + "s" * (size != 1)
+        power = max(p for p in range(1, 7) if size >= 1000**p)
+        return f"{size / 1000.0**power:.1f} {['kB', 'MB', 'GB', 'TB', 'PB', 'EB'][power - 1]}"
+
+    df = spark.createDataFrame([(x,) for x in sizes], "s long").select("s", paths.human_size(F.col("s")).alias("h"))
+    assert {r.s: r.h for r in df.collect()} == {x: plain(x) for x in sizes}
 
 
 def test_settings_round_trip(tmp_path):
@@ -196,6 +258,12 @@ def test_markup(spark):
     df = spark.createDataFrame([('<a class="x" href="u">', "cover:#img1")], "h string, c string")
     row = df.select(markup.attribute(F.col("h"), "a", "href").alias("a"), markup.cover_id(F.col("c")).alias("c")).first()
     assert (row.a, row.c) == ("u", "img1")
+    names = {"cover: a:b": "a:b", "COVER:x": "x", "title:x": None, "cover": None, "x": None, "cover2:x": None, "cover:": "", ":x": None}
+    df = spark.createDataFrame([(n,) for n in names], "c string")
+    assert {r.c: r.i for r in df.select("c", markup.cover_id(F.col("c")).alias("i")).collect()} == names
+    numbers = {"isbn (UID:12) x": "12", "uuid (uuid_id:1) ISBN (uid:2)": "2", "ISBN (uid:12": "", f"ISBN (uid:{'9' * 128})": "", f"ISBN (uid:{'9' * 127})": "9" * 127, "other (1)": "", "x:urn:uuid:a-b)": "a-b"}
+    df = spark.createDataFrame([(n,) for n in numbers], "t string")
+    assert {r.t: r.i for r in df.select("t", markup.isbn(F.col("t")).alias("i")).collect()} == numbers
 
 
 # ------------------------------------------------------------------ media
@@ -251,10 +319,62 @@ def test_codecs():
     got = decoders.read_wav(decoders.write_wav(x))
     assert (got.samples == x).all() and got.length == 1
     assert ebooks.epub_cover(epub(b"img")) == b"img" and ebooks.epub_cover(epub(None)) is None and ebooks.epub_cover(b"x") is None
-    assert sound.peaks(sound.spectrum(np.zeros(100, np.int16))) == []
+    assert sound.peaks(sound.spectrum(np.zeros(100, np.int16)), 0.0) == []
     assert decoders.shrink(px, 8, 8).shape == (8, 8, 3)
 
 
+def plain_peaks(db, seconds):
+    """Local maxima by a loop over the diamond around every cell; thresholds until hashes exceed a fourth of the seconds."""
+    def reach(x, worst, pick):
+        h, w = x.shape
+        out = np.empty_like(x)
+        wide = np.full((h + 40, w + 40), worst, x.dtype)
+        wide[20:-20, 20:-20] = x
+        parts = [wide[20 + a : 20 + a + h, 20 + b : 20 + b + w] for a in range(-20, 21) for b in range(-20 + abs(a), 21 - abs(a))]
+        out[:] = parts[0]
+        for part in parts:
+            pick(out, part, out=out)
+        return out
+
+    top = (reach(db, -np.inf, np.maximum) == db) & ~reach(db == 0, True, np.logical_and)
+    for amplitude in range(50, 0, -5):
+        found = sorted(((t, f) for f, t in zip(*np.nonzero(top & (db > amplitude)), strict=True)))
+        n = sum(found[j][0] - found[i][0] <= 200 for i in range(len(found)) for j in range(i + 1, min(i + 5, len(found))))
+        if n > int(seconds) // 4:
+            break
+    return [(int(f), int(t)) for t, f in found]
+
+
+def test_peaks_stop_when_hashes_exceed_a_fourth_of_the_seconds():
+    t = np.arange(22050 * 12) / 22050
+    tone = (9000 * np.sin(2 * np.pi * 440 * t)).astype(np.int16)
+    chirp = (6000 * np.sin(2 * np.pi * (200 + 150 * t) * t)).astype(np.int16)
+    noise = np.random.default_rng(3).normal(0, 40, len(t)).astype(np.int16)
+    for x in (tone, chirp, noise, tune(4, 12), np.zeros(22050 * 3, np.int16)):
+        db = sound.spectrum(x)
+        assert sound.peaks(db, len(x) / 22050) == plain_peaks(db, len(x) / 22050)
+    both = sound.spectrum(chirp + 3 * noise)
+    assert len(sound.peaks(both, 12)) < len(sound.peaks(both, 4000))  # more seconds ask for more hashes
+
+
+def test_area_5_hears_videos_instead_of_watching_them(spark, tmp_path):
+    for name, x in (("a.mp4", tune(5)), ("b.mp4", (tune(5) * 0.6).astype(np.int16)), ("c.mp4", tune(6)), ("d.wav", tune(5))):
+        (tmp_path / name).write_bytes(decoders.write_wav(x))
+
+    def pairs_of(**change):
+        known = decoders.Decoders()
+        known.audio["mp4"] = decoders.read_wav
+        known.video["mp4"] = lambda data: decoders.Video(100.0, 8, 8, "mp4", lambda at: np.zeros((8, 8, 3), np.uint8))
+        found = jobs.scan(spark, [str(tmp_path)], S.Settings(**change), known)
+        return {(r.kind, r.a.rpartition("/")[2], r.b.rpartition("/")[2]) for r in found.pairs.collect()}
+
+    heard = {("video", "a.mp4", "b.mp4")}
+    assert pairs_of(area=5, proc_audio=False) == heard
+    assert pairs_of(area=5) == heard | {("audio", "a.mp4", "b.mp4"), ("audio", "a.mp4", "d.wav"), ("audio", "b.mp4", "d.wav")}
+    # otherwise their frames are compared: all alike here
+    assert pairs_of(proc_audio=False) == {("video", x, y) for x, y in itertools.combinations(("a.mp4", "b.mp4", "c.mp4"), 2)}
+
+
 @pytest.fixture(scope="module")
 def media(tmp_path_factory):
     top = tmp_path_factory.mktemp("media")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +22,9 @@ IDENTIFIER_PREFIXES = (
     "UUID (BookId:",
 )
 
+# Fixed value: room for a book's number, its end mark included.
+ISBN_LENGTH = 128
+
 
 def attribute(markup: Column, tag: str, name: str) -> Column:
     """First value of an attribute of a tag, empty if absent. For text that need not be XML."""
@@ -40,16 +41,23 @@ def xml_attribute(xml: Column, name: str, *steps: str) -> Column:
 
 
 def cover_id(meta: Column) -> Column:
-    """Id of a cover: behind the first colon of ``cover:xyz``, without what isn't a letter or digit."""
-    value = F.when(F.contains(meta, F.lit(":")), F.regexp_extract(meta, "^[^:]*:(.*)$", 1)).otherwise(meta)
-    return F.regexp_replace(value, "^[^0-9A-Za-z]+", "")
-
-
-def identifier_pattern() -> str:
-    names = "|".join(re.sub(r"([():])", r"[\1]", p) for p in IDENTIFIER_PREFIXES)
-    return f"(?:{names})([^)]*)"
+    """Id of a cover: what follows ``cover:`` (in any case), from the first letter or digit on; null for other text."""
+    at = F.locate(":", meta)
+    found = F.regexp_replace(F.substring(meta, at + 1, F.length(meta)), "^[^0-9A-Za-z]+", "")
+    return F.when((at > 0) & (F.lower(F.substring(meta, F.lit(1), at - 1)) == "cover"), found)
 
 
 def isbn(text: Column) -> Column:
-    """A book's number behind a known prefix, up to a closing bracket; empty if none."""
-    return F.regexp_extract(text, identifier_pattern(), 1)
+    """A book's number: what stands between a known prefix and the next closing bracket; empty if none.
+
+    The first prefix of the table that occurs, in any case, decides, at its first place; a number of
+    ``ISBN_LENGTH`` or more bytes, or without a bracket behind it, is none.
+    """
+    out = None
+    for prefix in IDENTIFIER_PREFIXES:
+        at = F.locate(prefix.lower(), F.lower(text))
+        rest = F.substring(text, at + len(prefix), F.length(text))
+        value = F.substring_index(rest, ")", 1)
+        found = F.when(F.contains(rest, F.lit(")")) & (F.octet_length(value) < ISBN_LENGTH), value).otherwise("")
+        out = F.when(at > 0, found) if out is None else out.when(at > 0, found)
+    return out.otherwise("")

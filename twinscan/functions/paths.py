@@ -41,13 +41,30 @@ def dir_name(path: Column) -> Column:
     return F.when(~F.contains(path, F.lit("/")), ".").when(n == 0, "/").otherwise(F.substring(path, F.lit(1), n))
 
 
+def _tenths(size: Column, power: int) -> Column:
+    """Tenths of size / 1000**power, rounded as a double is printed with one place.
+
+    Whole numbers decide unless the quotient lies half way. Then the nearest double may be above or
+    below, which twice its high and low halves tell exactly; a double that is half way goes to even.
+    """
+    unit = 1000**power
+    tenths = F.call_function("div", size, F.lit(unit // 10))
+    rest = (size % (unit // 10)) * 20
+    x = size.cast("double") / F.lit(float(unit))
+    high = x.cast("float").cast("double")
+    off = (high * 20 - (tenths * 2 + 1).cast("double")) + (x - high) * 20
+    half = F.when(off > 0, 1).when(off < 0, 0).otherwise(tenths % 2)
+    return tenths + F.when(rest > unit, 1).when(rest < unit, 0).otherwise(half)
+
+
 def human_size(size: Column) -> Column:
-    """Bytes in decimal units with one place, truncated: ``12 bytes``, ``1.5 kB``, ``2.0 MB``."""
-    out = F.when(size < 1000, F.concat(size.cast("string"), F.lit(" bytes")))
-    for power, unit in ((1, "kB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        tenths = F.floor(size / F.lit(1000**power // 10)).cast("long")
-        text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
-        out = out.when(size < 1000 ** (power + 1), text) if power < 4 else out.otherwise(text)
+    """Bytes in decimal units with one place, rounded: ``1 byte``, ``12 bytes``, ``1.5 kB``, ``2.0 MB``."""
+    out = F.when(size == 1, "1 byte").when(size < 1000, F.concat(size.cast("string"), F.lit(" bytes")))
+    units = ("kB", "MB", "GB", "TB", "PB", "EB")
+    for power, unit in enumerate(units, 1):
+        tenths = _tenths(size, power)
+        text = F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = out.when(size < F.lit(1000 ** (power + 1)), text) if power < len(units) else out.otherwise(text)
     return out
 
 

@@ -81,6 +81,6 @@ def describe(path: Column, size: Column, width: Column, height: Column, length:
         dir_name(path).alias("dir"),
         F.concat(width.cast("string"), F.lit(":"), height.cast("string")).alias("dimension"),
         human_size(size).alias("human_size"),
-        length.cast("string").alias("length_text"),
+        F.when(length.isNotNull(), F.format_string("%.6f", length.cast("double"))).alias("length_text"),
         kind.alias("format"),
     ]

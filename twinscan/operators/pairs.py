@@ -6,22 +6,31 @@ strictly below the limit, so a limit of 0 matches nothing.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashes import hamming
 from ..settings import DURATION_BANDS
+from ..storage import materialize
 
 FULL = (1 << 64) - 1
+#: Values near one band's that a row may come with.
+MOST_PROBES = 1000
 
 
-def bands_of(limit: int, mask: int | None = None) -> list[int]:
-    """Masks that split the compared bits into ``limit`` bands.
+def bands_of(limit: int, mask: int | None = None, bands: int | None = None) -> list[int]:
+    """Masks that split the compared bits into ``bands`` bands of nearly equal width (``limit`` if not given).
 
-    Fewer than ``limit`` differing bits leave at least one band equal, so equal bands find all pairs.
+    Fewer than ``limit`` differing bits leave a band with at most (limit - 1) // bands of them. No band is
+    without a bit: with fewer bits than bands, there are as many as bits.
     """
     bits = [i for i in range(64) if (FULL if mask is None else mask) >> i & 1]
-    cut = [len(bits) * i // limit for i in range(limit + 1)]
+    n = max(1, min(bands or limit, len(bits)))
+    cut = [len(bits) * i // n for i in range(n + 1)]
     return [sum(1 << b for b in bits[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
 
 
@@ -29,28 +38,75 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _probes(width: int, flips: int) -> int:
+    """Values within ``flips`` bits of one of ``width`` bits."""
+    return sum(math.comb(width, k) for k in range(flips + 1))
+
+
+def band_count(n: int, limit: int, mask: int | None = None) -> int:
+    """How many bands cost least for n hashes: rows that probe, and rows that meet in the join."""
+    bits = bin(FULL if mask is None else mask).count("1")
+
+    def cost(bands: int) -> float:
+        width, flips = bits / bands, (limit - 1) // bands
+        probes = _probes(math.ceil(width), flips)
+        return bands * probes * (n + n * n / 2 / 2**width) if probes <= MOST_PROBES else math.inf
+
+    return min(range(1, max(1, min(limit, bits)) + 1), key=cost)
+
+
+def flips_of(mask: int, flips: int) -> list[int]:
+    """All patterns of at most ``flips`` bits of ``mask``."""
+    bits = [1 << i for i in range(64) if mask >> i & 1]
+    return [_signed(sum(c)) for k in range(min(flips, len(bits)) + 1) for c in combinations(bits, k)]
+
+
+def hash_pairs(seen: DataFrame, limit: int, mask: int | None, keys: list[str], n: int) -> DataFrame:
+    """``keys..., ha, hb`` of the distinct hashes in ``seen`` with a distance below ``limit``, ha <= hb.
+
+    Pigeonhole join: two such hashes differ in some band by at most (limit - 1) // bands bits, so one side
+    comes with its bands and the other with all values that near. Lossless, and without a nested loop.
+    """
+    if limit > bin(FULL if mask is None else mask).count("1"):
+        raise ValueError("limit is above the number of compared bits: every pair is below it")
+    masks = bands_of(limit, mask, band_count(n, limit, mask))
+    h, flips = F.col("h"), (limit - 1) // len(masks)
+
+    def band(i: int, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(i).alias("_band"), v.alias("_value")))
+
+    def bands(of: Callable[[int, Column], Column]) -> Column:
+        return F.explode(F.flatten(F.array(*[band(i, of(m, h.bitwiseAND(F.lit(_signed(m)).cast("long")))) for i, m in enumerate(masks)])))
+
+    def near(m: int, value: Column) -> Column:
+        patterns = flips_of(m, flips)
+        return F.transform(F.lit(patterns).cast("array<bigint>"), lambda x: value.bitwiseXOR(x)) if len(patterns) > 1 else F.array(value)
+
+    a = seen.select(*keys, h.alias("ha"), bands(lambda m, v: F.array(v)).alias("c")).select(*keys, "ha", "c.*")
+    b = seen.select(*keys, h.alias("hb"), bands(near).alias("c")).select(*keys, "hb", "c.*")
+    met = a.join(b, [*keys, "_band", "_value"])
+    return met.where((F.col("ha") <= F.col("hb")) & (hamming(F.col("ha"), F.col("hb"), mask) < limit)).select(*keys, "ha", "hb").distinct()
+
+
+def _held(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with a hash, the distinct hashes, and their number, which chooses the bands."""
+    held = rows.where(F.col("h").isNotNull())
+    seen = materialize(held.select(*keys, "h").distinct(), "hashes-seen")
+    return held, seen, seen.count()
+
+
 def hamming_pairs(rows: DataFrame, limit: int, mask: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """Pairs with a distance below ``limit``: ``keys..., id_a, id_b, distance``.
 
-    Banded equi-join, lossless and without a nested loop. Rows of one hash are folded before the
-    join, so large groups of equal hashes meet as single rows until the pairs are listed.
-    keys: columns that must be equal as well. Rows without a hash have no pairs.
+    Rows of one hash are folded before the join, so large groups of equal hashes meet as single rows until
+    the pairs are listed (``hamming_links`` doesn't list them). keys: columns that must be equal as well.
+    Rows without a hash have no pairs.
     """
     keys = keys or []
     if limit <= 0:
         return rows.select(*keys, F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance")).where("false")
-    held = rows.where(F.col("h").isNotNull())
-    seen = held.select(*keys, "h").distinct()
-    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("_band"), F.col("h").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("_value")) for i, m in enumerate(bands_of(limit, mask))]))
-    cut = seen.select(*keys, "h", bands.alias("c")).select(*keys, "h", "c.*")
-    a, b = cut.withColumnRenamed("h", "ha"), cut.withColumnRenamed("h", "hb")
-    met = (
-        a.join(b, [*keys, "_band", "_value"])
-        .where(F.col("ha") <= F.col("hb"))
-        .where(hamming(F.col("ha"), F.col("hb"), mask) < limit)
-        .select(*keys, "ha", "hb")
-        .distinct()
-    )
+    held, seen, n = _held(rows, keys)
+    met = hash_pairs(seen, limit, mask, keys, n)
     left = held.select(*keys, F.col("h").alias("ha"), F.col("id").alias("i"), F.col("ord").alias("oi"))
     right = held.select(*keys, F.col("h").alias("hb"), F.col("id").alias("j"), F.col("ord").alias("oj"))
     listed = met.join(left, [*keys, "ha"]).join(right, [*keys, "hb"])
@@ -64,6 +120,21 @@ def hamming_pairs(rows: DataFrame, limit: int, mask: int | None = None, keys: li
     )
 
 
+def hamming_links(rows: DataFrame, limit: int, mask: int | None = None) -> DataFrame:
+    """``id_a, id_b`` that connect what ``hamming_pairs`` does, for grouping: linear in groups of equal hashes.
+
+    The least row of a hash stands for it in pairs of hashes, and its other rows lead to it.
+    """
+    held, seen, n = _held(rows, [])
+    least = materialize(held.groupBy("h").agg(F.min("id").alias("id_a")), "hash-least")
+    star = held.join(least, "h").where("id != id_a").select("id_a", F.col("id").alias("id_b"))
+    if limit <= 0:
+        return star.where("false")
+    met = hash_pairs(seen, limit, mask, [], n).where("ha != hb")
+    other = least.select(F.col("h").alias("hb"), F.col("id_a").alias("id_b"))
+    return star.unionByName(met.join(least.withColumnRenamed("h", "ha"), "ha").join(other, "hb").select("id_a", "id_b"))
+
+
 def band_table(spark: SparkSession, bands: tuple[tuple[int, int, int], ...] = DURATION_BANDS) -> DataFrame:
     """The bands as a table of as many rows: ``band, lo, hi, seek``."""
     held = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(s).alias("seek")) for i, (lo, hi, s) in enumerate(bands)])

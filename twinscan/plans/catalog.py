@@ -17,6 +17,7 @@ from ..operators import curate, groups, pairs, peaks
 from ..operators.components import components
 from ..settings import AREA_MASKS, Settings
 from ..sources import cache
+from ..sources.files import range_numbered
 from ..storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,7 +170,7 @@ def head_tail_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("h")
     rows = _hashed(spark, sf_dir).join(_lengths(spark, sf_dir).where("length > 0"), "id")
     held = rows.select("id", "ord", "length", h.bitwiseAND(F.lit(0xFFFFFFFF)).alias("head"), F.shiftrightunsigned(h, 32).alias("tail"))
-    return pairs.head_tail_pairs(materialize(pairs.duration_bands(held), "ends"), 8)
+    return pairs.head_tail_pairs(materialize(pairs.duration_bands(held), "ends"), 8, 0xFFFFFFFF)
 
 
 # ---------------------------------------------------------------- peaks
@@ -190,8 +191,14 @@ def _peaks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).alias("id"), word).select("id", (F.ascii("w") * 100 + F.length("w")).cast("int").alias("f"), "t")
 
 
+def _hashes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``id, hash, t`` of documents, made inside the row that holds the words."""
+    found = F.transform(F.split("text", " ", -1), lambda w, i: F.struct((F.ascii(w) * 100 + F.length(w)).cast("int").alias("f"), i.alias("t")))
+    return docs.select(F.col(key).alias("id"), F.inline(peaks.constellation_of(found, timed=True)))
+
+
 def _folded(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return peaks.fold(peaks.constellation(_peaks(docs, key))).withColumn("ord", F.col("id"))
+    return peaks.fold(_hashes_of(docs, key)).withColumn("ord", F.col("id"))
 
 
 @query(f"WITH {_PEAKS} SELECT id, count(*) AS n, CAST(sum(f) AS BIGINT) AS sum_f, max(t) AS last_t, CAST(sum(f * (t % 97)) AS BIGINT) AS check_ft FROM peaks GROUP BY id")
@@ -203,8 +210,8 @@ def peak_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CONST} SELECT id, count(*) AS n, count(DISTINCT hash) AS kinds, min(hash) AS least, max(hash) AS most, CAST(sum(t) AS BIGINT) AS sum_t FROM const GROUP BY id")
 def constellation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peak hashes by one window per document, summed up per document."""
-    found = peaks.constellation(_peaks(_read(spark, sf_dir, "documents")))
+    """Peak hashes of every document, summed up per document."""
+    found = _hashes_of(_read(spark, sf_dir, "documents"))
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("hash").alias("kinds"), F.min("hash").alias("least"), F.max("hash").alias("most"), F.sum("t").alias("sum_t"))
 
 
@@ -218,8 +225,9 @@ def peak_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FOLDED}, p AS (SELECT id, size, lead(size) OVER (ORDER BY id) AS next_size FROM sizes) SELECT id, size, next_size, CAST(greatest(1, least(size, next_size) * 80 // 100) AS BIGINT) AS need FROM p WHERE next_size IS NOT NULL")
 def peak_need(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared peaks that each document and its next would need."""
-    size = peaks.sizes(_folded(_read(spark, sf_dir, "documents")))
-    beside = size.withColumn("next_size", F.lead("size").over(Window.orderBy("id"))).where("next_size is not null")
+    size = range_numbered(peaks.sizes(_folded(_read(spark, sf_dir, "documents"))), [], "id", "at")
+    after = size.select((F.col("at") - 1).alias("at"), F.col("size").alias("next_size"))
+    beside = size.join(after, "at")
     return beside.select("id", "size", "next_size", peaks.required(F.col("size"), F.col("next_size"), 2).alias("need"))
 
 
@@ -263,7 +271,8 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_LINKS} SELECT id, component FROM comp")
 def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.component_groups(_links(spark, sf_dir))
+    links = pairs.hamming_links(materialize(_hashed(spark, sf_dir), "hashes"), FAR)
+    return groups.component_groups(links)
 
 
 @query()
@@ -274,7 +283,7 @@ def dup_groups_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    comp = components(_links(spark, sf_dir), "id_a", "id_b")
+    comp = components(pairs.hamming_links(materialize(_hashed(spark, sf_dir), "hashes"), FAR), "id_a", "id_b")
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "n_chars")
     labels = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     at = Window.partitionBy("component").orderBy("id")
@@ -343,11 +352,12 @@ def sampling_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_MEMBERS} SELECT path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(path, '/[^/]*$', '') AS dir, width || ':' || height AS dimension,
-    CASE WHEN size < 1000 THEN size || ' bytes' ELSE (size // 100) // 10 || '.' || (size // 100) % 10 || ' kB' END AS human_size, kind AS format FROM members""")
+    CASE WHEN size = 1 THEN '1 byte' WHEN size < 1000 THEN size || ' bytes' WHEN size < 1000000 THEN format('{{:.1f}} kB', size / 1000.0::DOUBLE) ELSE format('{{:.1f}} MB', size / 1000000.0::DOUBLE) END AS human_size,
+    format('{{:f}}', length) AS length_text, kind AS format FROM members""")
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the result list as text."""
     c = F.col
-    return _members(spark, sf_dir).select(*curate.describe(c("path"), c("size"), c("width"), c("height"), c("length"), c("kind"))).drop("length_text")
+    return _members(spark, sf_dir).select(*curate.describe(c("path"), c("size"), c("width"), c("height"), c("length"), c("kind")))
 
 
 # ---------------------------------------------------------------- cache
@@ -394,23 +404,28 @@ def markup_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", markup.attribute(html, "html", "lang").alias("lang"), markup.attribute(html, "a", "href").alias("href"))
 
 
-_META = "CASE WHEN doc_id % 3 = 0 THEN 'cover:#' || source WHEN doc_id % 3 = 1 THEN '..' || source ELSE lang END"
+_META = "CASE doc_id % 5 WHEN 0 THEN concat('cover:#', source) WHEN 1 THEN concat('Cover: ..', source, ':', lang) WHEN 2 THEN concat('title:', lang) WHEN 3 THEN lang ELSE concat('COVER:', source) END"
 
 
 @query(f"""WITH m AS (SELECT doc_id, {_META} AS meta FROM documents)
-    SELECT doc_id, regexp_replace(CASE WHEN contains(meta, ':') THEN regexp_extract(meta, '^[^:]*:(.*)$', 1) ELSE meta END, '^[^0-9A-Za-z]+', '') AS cover FROM m""")
+    SELECT doc_id, CASE WHEN contains(meta, ':') AND lower(split_part(meta, ':', 1)) = 'cover'
+        THEN ltrim(substr(meta, strpos(meta, ':') + 1), ' .#') END AS cover FROM m""")
 def cover_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cover ids behind the word "cover" alone; marks in front of an id are left out, colons inside stay."""
     return _read(spark, sf_dir, "documents").select("doc_id", markup.cover_id(F.expr(_META)).alias("cover"))
 
 
-_PREFIX = "CASE doc_id % 3 WHEN 0 THEN 'ISBN (uid:' WHEN 1 THEN 'calibre (Unspecified:' ELSE 'other (' END"
+_BOOK = """CASE doc_id % 6 WHEN 0 THEN concat('ISBN (uid:', 97800000 + doc_id, ') ', lang) WHEN 1 THEN concat('CALIBRE (unspecified:', 97800000 + doc_id, ')')
+    WHEN 2 THEN concat('other (', doc_id, ')') WHEN 3 THEN concat('uuid (uuid_id:', doc_id, ') isbn (uid:', 97800000 + doc_id, ')')
+    WHEN 4 THEN concat('ISBN (uid:', doc_id) ELSE concat('duokan-book-id (uuid_id:', doc_id, ') duokan-book-id:', 97800000 + doc_id, ')') END"""
+# the table's first prefix that occurs decides, wherever it is
+_FIRST = "CASE " + " ".join(f"WHEN strpos(lower(t), lower('{p}')) > 0 THEN substr(t, strpos(lower(t), lower('{p}')) + {len(p)})" for p in markup.IDENTIFIER_PREFIXES) + " END"
 
 
-@query(f"""WITH m AS (SELECT doc_id, {_PREFIX} || (97800000 + doc_id) || ') ' || lang AS t FROM documents)
-    SELECT doc_id, regexp_extract(t, '{markup.identifier_pattern()}', 1) AS isbn FROM m""")
+@query(f"""WITH m AS (SELECT doc_id, {_BOOK} AS t FROM documents), r AS (SELECT doc_id, {_FIRST} AS rest FROM m)
+    SELECT doc_id, CASE WHEN strpos(rest, ')') > 0 THEN substr(rest, 1, strpos(rest, ')') - 1) ELSE '' END AS isbn FROM r""")
 def isbn_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr(f"concat({_PREFIX}, 97800000 + doc_id, ') ', lang)")
-    return _read(spark, sf_dir, "documents").select("doc_id", markup.isbn(text).alias("isbn"))
+    return _read(spark, sf_dir, "documents").select("doc_id", markup.isbn(F.expr(_BOOK)).alias("isbn"))
 
 
 @query("""SELECT doc_id, lang AS title, source AS author FROM documents""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import groups
 from ..operators.pairs import hamming_pairs, head_tail_pairs
 from ..operators.peaks import audio_pairs, constellation_of
-from ..settings import Settings
+from ..settings import AUDIO_IN_VIDEO, Settings
 from ..sources.decoders import Decoders
 from ..sources.files import classify, listing, numbered
 from ..sources.media import hashes, probe
@@ -57,7 +57,8 @@ FINDERS = {"image": find_images, "video": find_videos, "audio": find_audios, "eb
 def scan(spark: SparkSession, roots: list[str], settings: Settings | None = None, decoders: Decoders | None = None) -> Scan:
     """Find near duplicates below ``roots``. Files are decoded once; only hashes are kept.
 
-    With area 5 the sound of videos is read by decoders under the videos' suffixes in ``decoders.audio``.
+    With area 5 videos are compared by their sound instead of their frames, and once more together with the
+    audio files if these are looked for; decoders under the videos' suffixes in ``decoders.audio`` read it.
     """
     settings = settings or Settings()
     files = classify(listing(spark, roots, content=True), settings)
@@ -67,6 +68,8 @@ def scan(spark: SparkSession, roots: list[str], settings: Settings | None = None
     for i, (kind, finder) in enumerate(FINDERS.items()):
         if not settings.enabled(kind):
             continue
+        if kind == "video" and settings.area == AUDIO_IN_VIDEO:
+            finder = find_audios
         pairs = finder(rows.where(F.col("kind") == kind), settings).withColumn("kind", F.lit(kind)).withColumn("pass", F.lit(i))
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:

@@ -32,7 +32,7 @@ def epub_cover(data: bytes) -> bytes | None:
             package = ElementTree.fromstring(z.read(opf))
             meta = _first(package, "meta", name="cover")
             if meta is not None:
-                found = re.sub(r"^[^0-9A-Za-z]+", "", (meta.get("content") or "").split(":", 1)[-1])
+                found = re.sub(r"^[^0-9A-Za-z]+", "", meta.get("content") or "")
             else:
                 found = "x_cover" if _first(package, "metadata") is None else ""
             item = _first(package, "item", id=found) if found else None

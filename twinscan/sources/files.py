@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import kinds, real_path
 from ..settings import Settings
+from ..storage import materialize
 
 
 def listing(spark: SparkSession, roots: list[str], content: bool = False) -> DataFrame:
@@ -30,9 +31,21 @@ def classify(files: DataFrame, settings: Settings) -> DataFrame:
     return files.withColumn("kind", F.explode(kinds(F.col("path"), settings)))
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """Adds ``ord``, the place of a path within its kind in the order of paths.
+def range_numbered(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Adds ``name``, the place from 1 of a row within ``keys`` in the order of ``order``; its ties in any order.
 
-    One sort over the paths of a kind; paths alone are moved.
+    Rows are range-partitioned, so no task sorts a key's rows alone: they are numbered inside their range,
+    and shifted by the key's rows in earlier ranges. The ranges are written, as a second reading could cut them differently.
     """
-    return files.withColumn("ord", F.row_number().over(Window.partitionBy("kind").orderBy("path")).cast("long"))
+    held = materialize(rows.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = held.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    placed = held.withColumn("_inside", inside).join(first, [*keys, "_range"])
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(name))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """Adds ``ord``, the place of a path within its kind in the order of paths."""
+    return range_numbered(files, ["kind"], "path", "ord")

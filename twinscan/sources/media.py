@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import average_hash
-from ..settings import Settings
+from ..settings import AUDIO_IN_VIDEO, Settings
 from . import ebooks, sound
 from .decoders import Decoders, grays, image_suffix
 
@@ -45,7 +45,7 @@ def probe(files: DataFrame, settings: Settings, decoders: Decoders | None = None
             cover = read(content) if read else None
             if cover and (got := image(cover, f"cover.{image_suffix(cover)}")):
                 row["grid"] = got[2]
-        elif kind == "video":
+        elif kind == "video" and settings.area != AUDIO_IN_VIDEO:
             read = known.of("video", path)
             if read and (v := read(content)):
                 row |= {"length": float(int(v.length)), "width": v.width, "height": v.height, "format": v.format}
@@ -58,11 +58,12 @@ def probe(files: DataFrame, settings: Settings, decoders: Decoders | None = None
                     else:
                         frames += [None, None]
                 row["grid_tail"] = frames
-        elif kind == "audio":
+        elif kind in ("audio", "video"):
+            # with area 5 videos are compared by their sound, and have no frames
             read = known.of("audio", path)
             if read and (s := read(content)):
                 row["length"] = s.length
-                row["peaks"] = [{"f": f, "t": t} for f, t in sound.peaks(sound.spectrum(s.samples))] if s.length > 0.1 else None
+                row["peaks"] = [{"f": f, "t": t} for f, t in sound.peaks(sound.spectrum(s.samples), s.length)] if s.length > 0.1 else None
         return (path, kind, size, *row.values())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

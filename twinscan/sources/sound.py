@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..operators.peaks import FAN, FARTHEST
+
 SIZE, HOP, NEAR = 4096, 2048, 20
 # Amplitude thresholds in dB, the highest first.
 AMPLITUDES = tuple(range(50, 0, -5))
@@ -35,21 +37,27 @@ def _diamond(x: np.ndarray, steps: int, low: bool = False) -> np.ndarray:
     return x
 
 
-def peaks(db: np.ndarray) -> list[tuple[int, int]]:
-    """(frequency bin, window) of local maxima, at the first threshold that leaves enough of them.
+def hash_count(t: np.ndarray) -> int:
+    """How many constellation hashes peaks at these times, in order, make."""
+    return sum(int((t[k:] - t[:-k] <= FARTHEST).sum()) for k in range(1, FAN + 1) if len(t) > k)
+
+
+def peaks(db: np.ndarray, seconds: float) -> list[tuple[int, int]]:
+    """(frequency bin, window) of local maxima, at the first threshold at which they make enough hashes.
 
-    Enough: more than a fourth of the windows; the lowest threshold's peaks otherwise. Flat zero
-    background (eroded, so that its edges may still be peaks) is left out.
+    Enough: more than a fourth of the file's whole seconds; the lowest threshold's peaks otherwise. Flat
+    zero background (eroded, so that its edges may still be peaks) is left out.
     """
     if not db.shape[1]:
         return []
     top = _diamond(db, NEAR) == db
     background = _diamond((db == 0).astype(np.int8), NEAR, low=True).astype(bool)
     f, t = np.nonzero(top & ~background)
+    order = np.lexsort((f, t))
+    f, t = f[order], t[order]
     loud = db[f, t]
     for amplitude in AMPLITUDES:
         keep = loud > amplitude
-        if keep.sum() > db.shape[1] // 4:
+        if hash_count(t[keep]) > int(seconds) >> 2:
             break
-    order = np.lexsort((f[keep], t[keep]))
-    return list(zip(f[keep][order].tolist(), t[keep][order].tolist(), strict=True))
+    return list(zip(f[keep].tolist(), t[keep].tolist(), strict=True))
