@@ -181,6 +181,15 @@ def test_completion_is_best_on_small_cases():
         assert n == fewest(lengths, 100) == bound
 
 
+def test_options_made_again_continue_where_they_were(monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 1)
+    r = random.Random(9)
+    for _ in range(40):
+        lengths = sorted((r.randint(8, 45) for _ in range(r.randint(5, 9))), reverse=True)
+        found, bound = packing.complete(Counter(lengths), 100, None)
+        assert check(found, Counter(lengths), 100) == fewest(lengths, 100) == bound
+
+
 def test_completion_beats_best_fit():
     r = random.Random(4)
     lengths = Counter(r.choice([1300, 1400, 1500, 2100, 1366]) for _ in range(2000))

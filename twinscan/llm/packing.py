@@ -16,9 +16,10 @@ The solution is a list of runs per length, and every row finds its place by its
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ from pyspark.sql import types as T
 from .common import bounded_batches, materialize, rank_within, unused
 from .tokens import default_path, tokenizer
 
+#: Open nodes of the search whose fillings are held.
+HELD = 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _END = (1).to_bytes(4, "little")
 
@@ -112,7 +115,10 @@ def best_fit(histogram: dict[int, int], limit: int) -> list[Bin]:
 def _sums(counts: dict[int, int], sizes: list[int], room: int) -> list[int]:
     """Bit sets: sums up to ``room`` of the first i of the ``sizes``, for every i."""
     mask, held, out = (1 << (room + 1)) - 1, 1, [1]
-    for size in sizes:
+    never = (1 << sizes[0]) - 2 if sizes else 0  # sums below the least length
+    for i, size in enumerate(sizes):
+        if held | never == mask:
+            return out + [held] * (len(sizes) - i)
         n, k = min(counts[size], room // size), 1
         while n > 0:
             times = min(k, n)
@@ -180,16 +186,17 @@ def fillings(counts: dict[int, int], sizes: list[int], room: int, least: int = 0
 def lower_bound(histogram: dict[int, int], limit: int) -> int:
     """The larger of the volume bound and Martello and Toth's: lengths above limit - x can't share with those of x and more."""
     sizes = sorted(histogram)
-    total = sum(s * n for s, n in histogram.items())
-    bound = -(-total // limit)
-    for x in [s for s in sizes if 2 * s <= limit]:
-        alone = sum(histogram[s] for s in sizes if s > limit - x)
-        half = [s for s in sizes if limit < 2 * s and s <= limit - x]
-        n = sum(histogram[s] for s in half)
-        free = n * limit - sum(s * histogram[s] for s in half)
-        small = sum(s * histogram[s] for s in sizes if x <= s and 2 * s <= limit)
-        bound = max(bound, alone + n + max(0, -(-(small - free) // limit)))
-    return max(bound, sum(histogram[s] for s in sizes if 2 * s > limit))
+    count = [0, *accumulate(histogram[s] for s in sizes)]
+    volume = [0, *accumulate(s * histogram[s] for s in sizes)]
+    half = bisect_right(sizes, limit // 2)  # the first that can't share with its like
+    bound = max(-(-volume[-1] // limit), count[-1] - count[half])
+    for i, x in enumerate(sizes[:half]):
+        alone = max(half, bisect_right(sizes, limit - x))
+        n = count[alone] - count[half]
+        free = n * limit - (volume[alone] - volume[half])
+        small = volume[half] - volume[i]
+        bound = max(bound, count[-1] - count[half] + max(0, -(-(small - free) // limit)))
+    return bound
 
 
 def complete(histogram: dict[int, int], limit: int, nodes: int | None = 20_000) -> tuple[list[Bin], int]:
@@ -230,14 +237,22 @@ def complete(histogram: dict[int, int], limit: int, nodes: int | None = 20_000)
         waste += sign * b.times * (limit - sum(b.lengths))
 
     path: list[Bin] = []
-    open_ = [options()] if most > bound else []
-    while open_ and most > bound:
-        if len(path) == len(open_):
+    # how many options of each open node were tried; the latest nodes' options are held, others are made again
+    tried: list[int] = [0] if most > bound else []
+    held: dict[int, Iterator[Bin]] = {}
+    while tried and most > bound:
+        depth = len(tried) - 1
+        if len(path) == len(tried):
             turn(path.pop(), -1)
-        step = next(open_[-1], None)
+        if depth not in held:
+            held[depth] = islice(options(), tried[depth], None)
+            held.pop(depth - HELD, None)
+        step = next(held[depth], None)
         if step is None:
-            open_.pop()
+            tried.pop()
+            del held[depth]
             continue
+        tried[depth] += 1
         if nodes is not None:
             nodes -= 1
             if nodes < 0:
@@ -247,10 +262,10 @@ def complete(histogram: dict[int, int], limit: int, nodes: int | None = 20_000)
         if (most - 1) * limit - total - waste < 0:
             continue
         if any(counts.values()):
-            open_.append(options())
+            tried.append(0)
         elif used < most:
             most, best = used, list(path)
-    return best, max(bound, most) if not open_ else bound
+    return best, max(bound, most) if not tried else bound
 
 
 def runs(bins: list[Bin]) -> list[tuple[int, int, int, int, int, int]]:
