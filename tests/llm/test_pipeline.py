@@ -6,6 +6,7 @@ import corpus_pipeline
 from twinscan.llm import quality, toxicity
 from twinscan.llm.common import materialize, table
 
+from .helpers import ODD, no_docs, odd_docs
 from .test_groups import brute
 
 
@@ -43,3 +44,35 @@ def test_decisions_follow_the_scores(spark, tiny):
     model = quality.learn(docs, table(spark, tiny, "labels"))
     good = {r.doc_id for r in quality.score(docs, model).collect() if r.score >= corpus_pipeline.GOOD}
     assert {r.doc_id for r in corpus_pipeline.keep_good(spark, docs, tiny).collect()} == good
+
+
+def test_stages_on_odd_rows(spark, tiny):
+    """Nulls, blank, long and repeated texts, and columns named like those that stages might add."""
+    odd = odd_docs(spark).withColumnsRenamed({"score": "_score", "rank": "_id"})
+    odd = odd.selectExpr("*", "1 as _toxic", "2 as _good", "'x' as _row", "3 as _hash", "4 as `_BUCKET`")
+    extra = odd.columns
+    before = Counter(map(tuple, odd.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, tiny)
+        assert kept.columns == extra, name
+        after = Counter(map(tuple, kept.collect()))
+        assert after <= before
+        if name == "near_duplicates":
+            assert sorted(r[0] for r in after) == [1, 2, 6, 7, 8, 9]
+        else:  # repeated rows share their fate
+            assert all(n == before[r] for r, n in after.items())
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, tiny).collect()
+    assert sum(r.piece == 0 for r in packed) == len(ODD)
+
+
+def test_stages_on_empty_tables(spark, tiny):
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, no_docs(spark), tiny)
+        assert got.count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == no_docs(spark).columns
+
+
+def test_blank_texts_are_not_toxic(spark, tiny):
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, odd_docs(spark), tiny).collect()}
+    assert {2, 3, 4} <= kept

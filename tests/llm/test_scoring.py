@@ -1,5 +1,10 @@
 """Operators 1 and 4: held-out accuracy, pieces against plain versions, odd rows."""
 
+import math
+import os
+import zlib
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -161,3 +166,136 @@ def test_held_out_rows_are_never_learned(spark):
 
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in chosen.collect())
     assert sum(counts.values()) == chosen.count()
+
+
+def labelled_texts(spark, sf_dir, label):
+    """Texts and labels that may be learned from, in the order in which the operators learn, and class counts."""
+    labels = {}
+    for r in table(spark, sf_dir, "labels").collect():
+        if r[label] in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            labels[r.doc_id] = max(r[label], labels.get(r.doc_id, 0))
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
+    chosen = sorted((str(k), k) for k in labels if k in texts)
+    return [texts[k] for _, k in chosen], [labels[k] for _, k in chosen], dict(Counter(labels.values())), texts
+
+
+def plain_features(text):
+    [chunk] = list(words(pa.array([text]), 1 << 62))
+    return sorted(set(quality.features(chunk)[0].tolist()))
+
+
+def plain_support_vectors(rows, y, cost, seed):
+    """Naive Bayes support vectors with dictionaries: log-count ratios, unit rows, dual coordinate descent."""
+    n = [Counter(), Counter()]
+    for x, label in zip(rows, y, strict=True):
+        n[label].update(x)
+    total = [sum(c.values()) + (1 << quality.BITS) for c in n]
+    ratio = {f: math.log((n[1][f] + 1) / total[1]) - math.log((n[0][f] + 1) / total[0]) for f in n[0].keys() | n[1].keys() if n[0][f] + n[1][f] > 1}
+
+    def unit(x):
+        v = {f: ratio.get(f, 0.0) for f in x}
+        size = max(1e-6, math.sqrt(sum(a * a for a in v.values())))
+        return {f: a / size for f, a in v.items() if a}
+
+    values = [unit(x) for x in rows]
+    weight, bias, alpha = defaultdict(float), 0.0, [0.0] * len(rows)
+    square = [sum(a * a for a in v.values()) + 1 for v in values]
+    share = [len(y) / 2 / max(1, y.count(c)) for c in (0, 1)]
+    rng = np.random.default_rng(seed)
+    for _ in range(10):
+        moved = 0.0
+        for i in rng.permutation(len(rows)):
+            sign = 1 if y[i] else -1
+            gradient = sign * (sum(weight[f] * a for f, a in values[i].items()) + bias) - 1
+            new = min(max(alpha[i] - gradient / square[i], 0.0), cost * share[y[i]])
+            if new != alpha[i]:
+                step, moved = (new - alpha[i]) * sign, max(moved, abs(new - alpha[i]))
+                alpha[i] = new
+                bias += step
+                for f, a in values[i].items():
+                    weight[f] += step * a
+        if moved < 1e-3:
+            break
+    return lambda x: sum(weight[f] * a for f, a in unit(x).items()) + bias
+
+
+def test_quality_equals_a_plain_version(spark, tiny):
+    texts, y, counts, documents = labelled_texts(spark, tiny, "quality")
+    rows = [plain_features(t) for t in texts]
+    fold = np.random.default_rng(7).permutation(len(rows)) % 3
+    margin = [0.0] * len(rows)
+    for k in range(3):
+        inside = [i for i in range(len(rows)) if fold[i] != k]
+        model = plain_support_vectors([rows[i] for i in inside], [y[i] for i in inside], 1.0, 7)
+        for i in range(len(rows)):
+            if fold[i] == k:
+                margin[i] = model(rows[i])
+    weigh = np.array([counts[c] / y.count(c) for c in y])
+    slope, shift = quality._logistic(np.array(margin), np.array(y, float), weigh / weigh.mean())
+    model = plain_support_vectors(rows, y, 1.0, 7)
+    got = queries.op1_quality(spark, tiny).collect()
+    assert {r.doc_id for r in got} == documents.keys() and len(set(y)) == 2
+    for r in got:
+        want = 1 / (1 + math.exp(-(slope * model(plain_features(documents[r.doc_id])) + shift)))
+        assert r.score == pytest.approx(want, abs=1e-4)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7)
+
+
+def plain_logit(net, x):
+    """One window, word by word, in double precision."""
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    ways = []
+    for way, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        state, out = np.zeros(h), [None] * len(x)
+        for t in order:
+            drive, u = x[t] @ p[f"x{way}"] + p[f"b{way}"], p[f"u{way}"]
+            gates = sigmoid(drive[: 2 * h] + state @ u[:, : 2 * h])
+            z, r = gates[:h], gates[h:]
+            state = (1 - z) * state + z * np.tanh(drive[2 * h :] + (r * state) @ u[:, 2 * h :])
+            out[t] = state
+        ways.append(out)
+    states = [np.concatenate([f, b]) for f, b in zip(*ways, strict=True)]
+    e = np.exp([np.tanh(s @ p["a"] + p["ab"]) @ p["av"] for s in states])
+    return float(sum(w * s for w, s in zip(e / e.sum(), states, strict=True)) @ p["o"] + p["ob"][0])
+
+
+def test_toxicity_equals_a_plain_forward_pass(spark, tiny):
+    """Every window of every document of at most 160 words, by loops."""
+    net = toxicity.learn(table(spark, tiny, "documents"), table(spark, tiny, "labels"))
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, tiny).collect()}
+    documents = {r.doc_id: r.text or "" for r in table(spark, tiny, "documents").collect()}
+    assert got.keys() == documents.keys()
+    seen = 0
+    for k, text in documents.items():
+        [chunk] = list(words(pa.array([text]), 1 << 62))
+        n = len(chunk.starts)
+        if n > 160:
+            continue
+        lex, index = toxicity.lexicon(chunk)
+        x = net.embed(lex)[index].astype(float) if n else None
+        logits = [plain_logit(net, x[i : i + toxicity.WINDOW]) for i in range(max(1, n - toxicity.WINDOW + 1))] if n else []
+        want = 1 / (1 + math.exp(-(net.slope * max(logits) + net.shift))) if n else net.empty
+        r = got[k]
+        assert r.score == pytest.approx(want, abs=2e-4)
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3)
+        seen += 1
+    assert seen > 40
+
+
+def test_toxicity_of_held_out_documents():
+    """The table of 10,000 documents: what is learned from its labels holds for those held out."""
+    import duckdb
+
+    sf = os.path.join(os.environ.get("TEST_DATA", "/root/testdata"), "sf0.1")
+    found = duckdb.sql(f"select doc_id, text, toxic from '{sf}/documents.parquet' join '{sf}/labels.parquet' using (doc_id) where toxic is not null").fetchall()
+    found.sort(key=lambda r: str(r[0]))
+    out = [zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in found]
+    held, known = ([r for r, o in zip(found, out, strict=True) if o == side] for side in (True, False))
+    counts = Counter(r[2] for r in known)
+    learn = [r for c in (0, 1) for r in [x for x in known if x[2] == c][:1500]]
+    net = toxicity.fit([r[1] or "" for r in learn], [r[2] for r in learn], dict(counts))
+    score = np.concatenate([net.scores(c) for c in words(pa.array([r[1] for r in held]))])
+    toxic, said = np.array([r[2] == 1 for r in held]), score >= 0.3
+    assert (toxic & said).sum() / toxic.sum() > 0.8 and (toxic & said).sum() / said.sum() > 0.8
+    assert (~toxic & said).sum() / (~toxic).sum() < 0.03

@@ -177,7 +177,10 @@ def fit(rows: list[np.ndarray], labels: list[int], counts: dict[int, int], cost:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int = 1500, key: str = "doc_id", text: str = "text") -> Model:
     """Fit on at most ``each`` labelled rows per class that are not held out.
 
-    The driver receives the sample's hashed features only, never texts.
+    The driver receives the sample's hashed features only, never texts. Of several labels of one key the
+    largest holds; rows that repeat a key are all learned from. Null labels, keys without a row and rows
+    without a label don't count; a null text counts as empty, a long one is read whole. Without labels of
+    both classes the model is constant. Other columns don't matter.
     """
     bounded_batches(docs.sparkSession)
     chosen, counts = labelled.sample(labels, label, each, key)
@@ -197,5 +200,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, score`` of every row's whole text; a null text counts as empty."""
+    """``key, score`` of every row's whole text, however long; a null text counts as empty.
+
+    Repeated rows score alike. An empty text scores by the bias alone. No rows give no rows; other columns
+    don't matter.
+    """
     return labelled.with_scores(docs.select(F.col(key), F.col(text).cast("string").alias("_text")), model, text="_text").select(key, "score")

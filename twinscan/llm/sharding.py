@@ -193,7 +193,7 @@ def shard(docs: DataFrame, bins: int | None = 8, capacity: int | None = None, te
     a null text counts as empty. Returns ``key, size, text_crc32, shard, slot``; slots are gapless
     from 0 in each shard. No rows give no rows; repeated rows are separate rows of one group.
     A group larger than a fair share fills a shard alone, as it can't be divided; the other groups
-    are spread evenly over the other shards.
+    are spread evenly over the other shards. Long texts are hashed whole; other columns don't matter.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))

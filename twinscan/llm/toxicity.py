@@ -386,7 +386,10 @@ def fit(texts: list[bytes | str], labels: list[int], counts: dict[int, int], rou
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = 1500, key: str = "doc_id", text: str = "text") -> Network:
     """Fit on at most ``each`` labelled rows per class that are not held out.
 
-    The driver receives the whole texts of this bounded sample and trains; nothing else reaches it.
+    The driver receives the whole texts of this bounded sample and trains; nothing else reaches it. Of
+    several labels of one key the largest holds; rows that repeat a key are all learned from. Null labels,
+    keys without a row and rows without a label don't count; a text without words teaches nothing. Without
+    labels of both classes the model is constant. Other columns don't matter.
     """
     bounded_batches(docs.sparkSession)
     chosen, counts = labelled.sample(labels, label, each, key)
@@ -396,5 +399,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int =
 
 
 def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, score`` of every row's whole text; a text without words has a constant score."""
+    """``key, score`` of every row's whole text, however long; a text without words, or null, has a constant score.
+
+    Equal texts score alike but for single precision, which depends on the texts of a batch. No rows give
+    no rows; other columns don't matter.
+    """
     return labelled.with_scores(docs.select(F.col(key), F.col(text).cast("string").alias("_text")), net, text="_text").select(key, "score")

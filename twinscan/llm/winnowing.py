@@ -110,7 +110,9 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     The edited text: the last quarter (floor of code points) replaced by as many of the next
     document's first. Returns ``key, n_chars, marks, hashes, edited_text, edited_marks,
-    edited_hashes, next_hashes``. A document alone is its own next.
+    edited_hashes, next_hashes``. A document alone is its own next. A null text counts as empty.
+    Repeated rows and rows of one key are neighbours of each other, in the order of their texts; rows without
+    a key come first. Long texts are read whole. No rows give no rows; other columns don't matter.
     """
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     first = rows.select(key, "_t", marks(F.col("_t")).alias("marks"))
