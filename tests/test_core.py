@@ -401,6 +401,59 @@ def test_scan(spark, media):
     assert {r.kind for r in found.probed.where("h is null and peaks is null").collect()} == {"image"}
 
 
+def test_images_of_the_jvm(spark, tmp_path):
+    px = picture(4)
+    (tmp_path / "a.PNG").write_bytes(decoders.write_png(px))
+    (tmp_path / "broken.jpg").write_bytes(b"not a picture")
+    jvm = spark._jvm
+    read = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(tmp_path / "a.PNG")))
+    for kind in ("jpg", "gif", "bmp", "tif"):
+        assert jvm.javax.imageio.ImageIO.write(read, kind, jvm.java.io.File(str(tmp_path / f"b.{kind}")))
+    (tmp_path / "c.xpm").write_bytes(decoders.write_png(px))
+    found = jobs.scan(spark, [str(tmp_path)], S.Settings(proc_image=True, proc_video=False, proc_audio=False))
+    rows = {r.path.rpartition("/")[2]: r for r in found.probed.collect()}
+    assert rows.keys() == {"a.PNG", "b.jpg", "b.gif", "b.bmp", "b.tif", "broken.jpg", "c.xpm"}
+    assert rows["broken.jpg"].h is None and rows["broken.jpg"].size == 13 and rows["c.xpm"].h is None
+    assert rows["a.PNG"].grid == rows["b.bmp"].grid == decoders.grays(px, 8) and (rows["b.tif"].width, rows["b.tif"].height, rows["b.tif"].format) == (60, 40, "tif")
+    assert rows["a.PNG"].ph == hashes.dct_hashes(np.array(decoders.grays(px, 32), float).reshape(1, 32, 32))[0]
+    names = {frozenset((r.a.rpartition("/")[2], r.b.rpartition("/")[2])) for r in found.pairs.collect()}
+    assert frozenset(("a.PNG", "b.jpg")) in names and not any("broken.jpg" in n or "c.xpm" in n for n in names)
+    # a decoder of the caller's own comes first
+    known = decoders.Decoders()
+    known.image |= {"gif": lambda data: None, "xpm": decoders.read_png}
+    rows = {r.path.rpartition("/")[2]: r for r in jobs.scan(spark, [str(tmp_path)], S.Settings(proc_image=True, proc_video=False, proc_audio=False), known).probed.collect()}
+    assert rows["b.gif"].h is None and rows["c.xpm"].h == rows["a.PNG"].h
+
+
+def test_scan_with_a_cache(spark, media, tmp_path):
+    held = cache.Cache(spark, str(tmp_path / "cache"))
+    mine = S.Settings(proc_image=True, proc_ebook=True)
+    video = tmp_path / "films"
+    video.mkdir()
+    for name in ("one.mp4", "two.mp4"):
+        (video / name).write_bytes(name.encode())
+    known = decoders.Decoders()
+    known.video["mp4"] = lambda data: decoders.Video(400.0, 8, 8, "mp4", lambda at: picture(at) if at < 375 else None)
+    roots = [str(media), str(video)]
+    plain = jobs.scan(spark, roots, mine, known)
+    want = sorted(map(tuple, plain.pairs.collect()))
+    assert len(want) == 4 and any(r[0] == "video" for r in want)
+    first = jobs.scan(spark, roots, mine, known, held)
+    assert sorted(map(tuple, first.pairs.collect())) == want
+    # now nothing but unreadable files is decoded
+    blind = decoders.Decoders()
+    blind.image = {x: (lambda data: None) for x in ("png", "jpg")}
+    blind.audio, blind.video = {"wav": lambda data: None}, {"mp4": lambda data: None}
+    again = jobs.scan(spark, roots, mine, blind, held)
+    assert sorted(map(tuple, again.pairs.collect())) == want
+    keep = ("path", "kind", "size", "width", "height", "length", "format", "h", "ends")
+    rows = lambda s: sorted(repr(tuple(r)) for r in s.probed.where("kind != 'image' or h is not null").select(*keep).collect())
+    assert rows(again) == rows(plain)
+    # a changed file is decoded anew, one that is gone has no pairs
+    (video / "two.mp4").write_bytes(b"another film")
+    assert sorted(map(tuple, jobs.scan(spark, roots, mine, blind, held).pairs.collect())) == [r for r in want if r[0] != "video"]
+
+
 def test_listing_reads_no_content(spark, media):
     listed = files.listing(spark, [str(media)])
     assert listed.count() == 10 and "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]

@@ -1,7 +1,8 @@
 """Fingerprint cache between runs: two Parquet tables, ``media`` and ``hash``.
 
-``media``: path, size, mtime. ``hash``: path, alg, at, h (a perceptual hash) or f, t (a sound's
-peak). An entry holds as long as its file's size and time are the same.
+``media``: path, size, mtime, and width, height, length, format where they are known. ``hash``: path, alg,
+at, h (a perceptual hash, of a video's frame at a second) or f, t (a sound's peak). An entry holds as long
+as its file's size and time are the same.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ..storage import exists, remove
 # Numbers of the algorithms in the cache.
 IMAGE_HASH, IMAGE_PHASH, AUDIO_HASH = 0, 1, 0xFFFF
 
-MEDIA = "path string, size long, mtime timestamp"
+MEDIA = "path string, size long, mtime timestamp, width int, height int, length double, format string"
 HASH = "path string, at double, h long, f int, t int, alg int"
 
 
@@ -39,6 +40,12 @@ def without(table: DataFrame, gone: DataFrame) -> DataFrame:
     return table.join(gone.select("path"), "path", "left_anti")
 
 
+def _full(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows with all columns of a schema, nulls where they lack one."""
+    kinds = dict(c.split() for c in schema.split(", "))
+    return rows.select(*[F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+
+
 class Cache:
     """The tables below a folder. A rewrite goes to a new version folder, which a pointer file of one
     row then names, so a reader never sees a half-written table."""
@@ -72,13 +79,14 @@ class Cache:
         return lookup(files, self.media, self.hashes, alg)
 
     def add(self, media: DataFrame, hashes: DataFrame) -> None:
-        """Append rows of new files; ``hashes`` lacks the columns that its algorithm has no use for."""
+        """Append rows of new files; both may lack columns that their algorithm has no use for."""
         version = self._version()
-        names = [c.split()[0] for c in HASH.split(", ")]
-        kinds = dict(c.split() for c in HASH.split(", "))
-        full = hashes.select(*[F.col(c).cast(kinds[c]) if c in hashes.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names])
-        full.write.mode("append").partitionBy("alg").parquet(f"{self.folder}/{version}/hash")
-        media.select("path", "size", "mtime").write.mode("append").parquet(f"{self.folder}/{version}/media")
+        _full(hashes, HASH).write.mode("append").partitionBy("alg").parquet(f"{self.folder}/{version}/hash")
+        _full(media, MEDIA).write.mode("append").parquet(f"{self.folder}/{version}/media")
+
+    def replace(self, media: DataFrame, hashes: DataFrame) -> None:
+        """Put rows of files in the place of what is held of them. Both must not read the cache."""
+        self._commit(without(self.media, media).unionByName(_full(media, MEDIA)), without(self.hashes, media).unionByName(_full(hashes, HASH)))
 
     def remove(self, gone: DataFrame) -> None:
         self._commit(without(self.media, gone), without(self.hashes, gone))
