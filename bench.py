@@ -21,7 +21,7 @@ QUERIES = [
     "head_tail_pairs",
     "duration_bands",
     "constellation",
-    "peak_need",
+    "audio_pairs",
     "dup_components",
     "select_small_file",
     "delete_plan",

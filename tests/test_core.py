@@ -483,6 +483,14 @@ def test_watch(spark, media, tmp_path):
     assert seen == [("a.png", "b.PNG")] and held.media.count() == 4
     watch_images(spark, str(media), held, str(tmp_path / "log2"), take).awaitTermination()
     assert held.media.count() == 4
+    # new files meet those before them, which don't meet each other again
+    later = tmp_path / "later"
+    later.mkdir()
+    for name in ("d.png", "e.png"):
+        (later / name).write_bytes(decoders.write_png(picture(2)))
+    seen.clear()
+    watch_images(spark, str(later), held, str(tmp_path / "log3"), take).awaitTermination()
+    assert sorted(map(sorted, seen)) == [["c.png", "d.png"], ["c.png", "e.png"], ["d.png", "e.png"]]
 
 
 def test_entry_without_llm(monkeypatch):

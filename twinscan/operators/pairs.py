@@ -61,9 +61,11 @@ def flips_of(mask: int, flips: int) -> list[int]:
     return [_signed(sum(c)) for k in range(min(flips, len(bits)) + 1) for c in combinations(bits, k)]
 
 
-def hash_pairs(seen: DataFrame, limit: int, mask: int | None, keys: list[str], n: int) -> DataFrame:
+def hash_pairs(seen: DataFrame, limit: int, mask: int | None, keys: list[str], n: int, other: DataFrame | None = None) -> DataFrame:
     """``keys..., ha, hb`` of the distinct hashes in ``seen`` with a distance below ``limit``, ha <= hb.
 
+    other: the distinct hashes that hb is from, if not the same (then in any order).
+
     Pigeonhole join: two such hashes differ in some band by at most (limit - 1) // bands bits, so one side
     comes with its bands and the other with all values that near. Lossless, and without a nested loop.
     """
@@ -83,9 +85,10 @@ def hash_pairs(seen: DataFrame, limit: int, mask: int | None, keys: list[str], n
         return F.transform(F.lit(patterns).cast("array<bigint>"), lambda x: value.bitwiseXOR(x)) if len(patterns) > 1 else F.array(value)
 
     a = seen.select(*keys, h.alias("ha"), bands(lambda m, v: F.array(v)).alias("c")).select(*keys, "ha", "c.*")
-    b = seen.select(*keys, h.alias("hb"), bands(near).alias("c")).select(*keys, "hb", "c.*")
+    b = (seen if other is None else other).select(*keys, h.alias("hb"), bands(near).alias("c")).select(*keys, "hb", "c.*")
     met = a.join(b, [*keys, "_band", "_value"])
-    return met.where((F.col("ha") <= F.col("hb")) & (hamming(F.col("ha"), F.col("hb"), mask) < limit)).select(*keys, "ha", "hb").distinct()
+    order = F.col("ha") <= F.col("hb") if other is None else F.lit(True)
+    return met.where(order & (hamming(F.col("ha"), F.col("hb"), mask) < limit)).select(*keys, "ha", "hb").distinct()
 
 
 def _held(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, int]:
@@ -107,10 +110,16 @@ def hamming_pairs(rows: DataFrame, limit: int, mask: int | None = None, keys: li
         return rows.select(*keys, F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance")).where("false")
     held, seen, n = _held(rows, keys)
     met = hash_pairs(seen, limit, mask, keys, n)
-    left = held.select(*keys, F.col("h").alias("ha"), F.col("id").alias("i"), F.col("ord").alias("oi"))
-    right = held.select(*keys, F.col("h").alias("hb"), F.col("id").alias("j"), F.col("ord").alias("oj"))
+    return _listed(met, held, held, mask, keys)
+
+
+def _listed(met: DataFrame, a: DataFrame, b: DataFrame, mask: int | None, keys: list[str]) -> DataFrame:
+    """Rows of pairs of hashes, the smaller ``ord`` first."""
+    left = a.select(*keys, F.col("h").alias("ha"), F.col("id").alias("i"), F.col("ord").alias("oi"))
+    right = b.select(*keys, F.col("h").alias("hb"), F.col("id").alias("j"), F.col("ord").alias("oj"))
     listed = met.join(left, [*keys, "ha"]).join(right, [*keys, "hb"])
-    listed = listed.where((F.col("ha") != F.col("hb")) | (F.col("oi") < F.col("oj")))
+    if a is b:
+        listed = listed.where((F.col("ha") != F.col("hb")) | (F.col("oi") < F.col("oj")))
     first = F.col("oi") < F.col("oj")
     return listed.select(
         *keys,
@@ -120,6 +129,18 @@ def hamming_pairs(rows: DataFrame, limit: int, mask: int | None = None, keys: li
     )
 
 
+def hamming_matches(new: DataFrame, known: DataFrame, limit: int, mask: int | None = None) -> DataFrame:
+    """Pairs of a row of ``new`` with another row of ``new`` or a row of ``known``: ``id_a, id_b, distance``.
+
+    Known rows are not joined with each other. No id may be in both.
+    """
+    own = hamming_pairs(new, limit, mask)
+    if limit <= 0:
+        return own
+    (mine, seen, n), (theirs, other, m) = _held(new, []), _held(known, [])
+    return own.unionByName(_listed(hash_pairs(seen, limit, mask, [], max(n, m), other), mine, theirs, mask, []))
+
+
 def hamming_links(rows: DataFrame, limit: int, mask: int | None = None) -> DataFrame:
     """``id_a, id_b`` that connect what ``hamming_pairs`` does, for grouping: linear in groups of equal hashes.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.pairs import hamming_pairs
+from ..operators.pairs import hamming_matches
 from ..settings import Settings
 from ..sources.cache import IMAGE_HASH, Cache
 from ..sources.decoders import Decoders
@@ -19,7 +19,7 @@ from ..sources.media import hashes, probe
 def watch_images(spark: SparkSession, folder: str, cache: Cache, checkpoint: str, on_pairs: Callable[[DataFrame], None], settings: Settings | None = None, decoders: Decoders | None = None, once: bool = True) -> StreamingQuery:
     """Hash images as they arrive below ``folder``; ``on_pairs`` gets the new pairs of each batch.
 
-    A batch is joined with itself and with the cache, then added to the cache. A batch that is run
+    A batch's rows are joined with each other and with the cache, then added to the cache. A batch that is run
     again after a failure finds its files cached and adds nothing twice.
     """
     settings = settings or Settings(proc_image=True)
@@ -32,16 +32,9 @@ def watch_images(spark: SparkSession, folder: str, cache: Cache, checkpoint: str
         _, new = cache.lookup(files, IMAGE_HASH)
         found = hashes(probe(new.select("path", "kind", "size", "content"), settings, decoders)).select("path", "h").where("h is not null").cache()
         known = cache.hashes.where(F.col("alg") == IMAGE_HASH).select("path", "h")
-        rows = found.withColumn("new", F.lit(True)).unionByName(known.withColumn("new", F.lit(False)))
-        rows = rows.select(F.col("path").alias("id"), F.col("path").alias("ord"), "h", "new")
-        pairs = hamming_pairs(rows, settings.image_distance, settings.mask)
-        fresh = found.select(F.col("path").alias("p"))
-        touched = (
-            pairs.join(fresh.withColumnRenamed("p", "id_a"), "id_a", "left_semi")
-            .unionByName(pairs.join(fresh.withColumnRenamed("p", "id_b"), "id_b", "left_semi"))
-            .distinct()
-        )
-        on_pairs(touched)
+        rows = lambda df: df.select(F.col("path").alias("id"), F.col("path").alias("ord"), "h")
+        before = known.join(found.select("path"), "path", "left_anti")
+        on_pairs(hamming_matches(rows(found), rows(before), settings.image_distance, settings.mask))
         cache.add(new.select("path", "size", "mtime"), found.withColumn("alg", F.lit(IMAGE_HASH)).withColumn("at", F.lit(0.0)))
         found.unpersist()
 
