@@ -244,19 +244,19 @@ def test_quality_equals_a_plain_version(spark, tiny):
 def plain_logit(net, x):
     """One window, word by word, in double precision."""
     p, h = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
-    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    soft = lambda v: v / (1 + abs(v))
     ways = []
     for way, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
         state, out = np.zeros(h), [None] * len(x)
         for t in order:
             drive, u = x[t] @ p[f"x{way}"] + p[f"b{way}"], p[f"u{way}"]
-            gates = sigmoid(drive[: 2 * h] + state @ u[:, : 2 * h])
+            gates = (1 + soft(drive[: 2 * h] + state @ u[:, : 2 * h])) / 2
             z, r = gates[:h], gates[h:]
-            state = (1 - z) * state + z * np.tanh(drive[2 * h :] + (r * state) @ u[:, 2 * h :])
+            state = (1 - z) * state + z * soft(drive[2 * h :] + (r * state) @ u[:, 2 * h :])
             out[t] = state
         ways.append(out)
     states = [np.concatenate([f, b]) for f, b in zip(*ways, strict=True)]
-    e = np.exp([np.tanh(s @ p["a"] + p["ab"]) @ p["av"] for s in states])
+    e = np.exp([soft(s @ p["a"] + p["ab"]) @ p["av"] for s in states])
     return float(sum(w * s for w, s in zip(e / e.sum(), states, strict=True)) @ p["o"] + p["ob"][0])
 
 
