@@ -192,7 +192,13 @@ def _peaks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _hashes_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``id, hash, t`` of documents, made inside the row that holds the words."""
+    """``id, hash, t`` of documents, made inside the row that holds the words.
+
+    A file of few row groups is read by few tasks; its rows are then dealt to all cores beforehand.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.select(key, "text")
+    docs = docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
     found = F.transform(F.split("text", " ", -1), lambda w, i: F.struct((F.ascii(w) * 100 + F.length(w)).cast("int").alias("f"), i.alias("t")))
     return docs.select(F.col(key).alias("id"), F.inline(peaks.constellation_of(found, timed=True)))
 
