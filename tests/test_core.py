@@ -116,6 +116,29 @@ def test_pigeonhole_join_for_any_number_of_bands(spark, limit, mask, n):
         pairs.hash_pairs(seen, 4, 0b101, [], 10)
 
 
+@pytest.mark.parametrize("limit, mask", [(4, None), (6, S.AREA_MASKS[1]), (20, None)])
+def test_hashes_with_their_bands_are_not_broadcast(spark, limit, mask):
+    seen = spark.range(200).select(F.xxhash64("id").alias("h"))
+    assert pairs.in_blocks(10**5, limit, mask) == (limit != 4)
+    for other in (None, seen.limit(50)):
+        found = pairs.hash_pairs(seen, limit, mask, [], 10**5, other)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("mask", [None, S.AREA_MASKS[2]])
+def test_blocks_of_hashes_meet_once(spark, monkeypatch, mask):
+    monkeypatch.setattr(pairs, "BLOCK", 16)
+    r = random.Random(5)
+    held, known = ([r.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (100, 40))
+    seen, other = (spark.createDataFrame([(h,) for h in x], "h long") for x in (held, known))
+    near = lambda a, b: bin((a ^ b) & ((1 << 64) - 1 if mask is None else mask)).count("1") < 22 - 14 * bool(mask)
+    own = pairs._blocks(seen, 22 - 14 * bool(mask), mask, 100, None).collect()
+    assert sorted(map(tuple, own)) == sorted((min(a, b), max(a, b)) for a, b in [*itertools.combinations(held, 2), *zip(held, held, strict=True)] if near(a, b))
+    cross = pairs._blocks(seen, 22 - 14 * bool(mask), mask, 100, other).collect()
+    assert sorted(map(tuple, cross)) == sorted((a, b) for a in held for b in known if near(a, b)) and cross
+
+
 def test_links_connect_what_pairs_do(spark):
     r = random.Random(11)
     base = [r.getrandbits(63) for _ in range(12)]

@@ -7,9 +7,11 @@ strictly below the limit, so a limit of 0 matches nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ from ..storage import materialize
 FULL = (1 << 64) - 1
 #: Values near one band's that a row may come with.
 MOST_PROBES = 1000
+#: Comparisons of two hashes in an array that cost what a row of a join does.
+COMPARISONS = 100
+#: Hashes of a block that is compared with another one at once, and the most blocks (larger ones from there on).
+BLOCK, MOST_BLOCKS = 4096, 64
 
 
 def bands_of(limit: int, mask: int | None = None, bands: int | None = None) -> list[int]:
@@ -43,16 +49,22 @@ def _probes(width: int, flips: int) -> int:
     return sum(math.comb(width, k) for k in range(flips + 1))
 
 
+def band_cost(n: int, limit: int, mask: int | None, bands: int) -> float:
+    """Rows that probe, and rows that meet in the join, for n hashes."""
+    width, flips = bin(FULL if mask is None else mask).count("1") / bands, (limit - 1) // bands
+    probes = _probes(math.ceil(width), flips)
+    return bands * probes * (n + n * n / 2 / 2**width) if probes <= MOST_PROBES else math.inf
+
+
 def band_count(n: int, limit: int, mask: int | None = None) -> int:
-    """How many bands cost least for n hashes: rows that probe, and rows that meet in the join."""
+    """How many bands cost least for n hashes."""
     bits = bin(FULL if mask is None else mask).count("1")
+    return min(range(1, max(1, min(limit, bits)) + 1), key=lambda bands: band_cost(n, limit, mask, bands))
 
-    def cost(bands: int) -> float:
-        width, flips = bits / bands, (limit - 1) // bands
-        probes = _probes(math.ceil(width), flips)
-        return bands * probes * (n + n * n / 2 / 2**width) if probes <= MOST_PROBES else math.inf
 
-    return min(range(1, max(1, min(limit, bits)) + 1), key=cost)
+def in_blocks(n: int, limit: int, mask: int | None = None) -> bool:
+    """Whether comparing all of n hashes in arrays costs less than the join of bands: far limits, few bits."""
+    return n * n / 2 / COMPARISONS < band_cost(n, limit, mask, band_count(n, limit, mask))
 
 
 def flips_of(mask: int, flips: int) -> list[int]:
@@ -67,10 +79,18 @@ def hash_pairs(seen: DataFrame, limit: int, mask: int | None, keys: list[str], n
     other: the distinct hashes that hb is from, if not the same (then in any order).
 
     Pigeonhole join: two such hashes differ in some band by at most (limit - 1) // bands bits, so one side
-    comes with its bands and the other with all values that near. Lossless, and without a nested loop.
+    comes with its bands and the other with all values that near. Where that would make more rows than it
+    saves (``in_blocks``), blocks of hashes are compared whole. Both are lossless. The join is a merge: a table
+    of hashes is small, its bands are not, and the planner would send them through the driver.
     """
     if limit > bin(FULL if mask is None else mask).count("1"):
         raise ValueError("limit is above the number of compared bits: every pair is below it")
+    if not keys and in_blocks(n, limit, mask):
+        return _blocks(seen, limit, mask, n, other)
+    return _banded(seen, limit, mask, keys, n, other)
+
+
+def _banded(seen: DataFrame, limit: int, mask: int | None, keys: list[str], n: int, other: DataFrame | None) -> DataFrame:
     masks = bands_of(limit, mask, band_count(n, limit, mask))
     h, flips = F.col("h"), (limit - 1) // len(masks)
 
@@ -86,11 +106,67 @@ def hash_pairs(seen: DataFrame, limit: int, mask: int | None, keys: list[str], n
 
     a = seen.select(*keys, h.alias("ha"), bands(lambda m, v: F.array(v)).alias("c")).select(*keys, "ha", "c.*")
     b = (seen if other is None else other).select(*keys, h.alias("hb"), bands(near).alias("c")).select(*keys, "hb", "c.*")
-    met = a.join(b, [*keys, "_band", "_value"])
+    met = a.join(b.hint("merge"), [*keys, "_band", "_value"])
     order = F.col("ha") <= F.col("hb") if other is None else F.lit(True)
     return met.where(order & (hamming(F.col("ha"), F.col("hb"), mask) < limit)).select(*keys, "ha", "hb").distinct()
 
 
+def near_hashes(left: np.ndarray, right: np.ndarray, limit: int, mask: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in two arrays of hashes whose distance is below ``limit``, some rows of ``left`` at a time."""
+    full = FULL if mask is None else mask
+    kind = np.uint32 if full < 1 << 32 else np.uint64
+    x, y = ((v.view(np.uint64) & np.uint64(full)).astype(kind) for v in (left, right))
+    rows = max(1, (1 << 16) // max(1, len(y)))
+    diff, bits, near = (np.empty((rows, len(y)), t) for t in (kind, np.uint8, np.bool_))
+    for at in range(0, len(x), rows):
+        k = min(rows, len(x) - at)
+        np.bitwise_xor(x[at : at + k, None], y[None], out=diff[:k])
+        np.bitwise_count(diff[:k], out=bits[:k])
+        np.less(bits[:k], limit, out=near[:k])
+        i, j = np.divmod(np.flatnonzero(near[:k]), len(y))
+        yield i + at, j
+
+
+def _blocks(seen: DataFrame, limit: int, mask: int | None, n: int, other: DataFrame | None) -> DataFrame:
+    """``ha, hb`` by comparing every block of hashes with itself and all others, each pair of blocks once."""
+    spark = seen.sparkSession
+    count, alone = max(1, min(MOST_BLOCKS, -(-n // BLOCK))), other is None
+
+    def dealt(hashes: DataFrame) -> DataFrame:
+        return materialize(hashes.groupBy(F.pmod(F.xxhash64("h"), F.lit(count)).alias("k")).agg(F.collect_list("h").alias("held")), "hash-blocks")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["ha", "hb"])
+
+        found, many = [], 0
+        for b in batches:
+            for same, left, right in zip(*b.columns, strict=True):
+                x, y = left.values.to_numpy(), right.values.to_numpy()
+                for i, j in near_hashes(x, y, limit, mask):
+                    p, q = x[i], y[j]
+                    if same.as_py():
+                        p, q = p[p <= q], q[p <= q]
+                    elif alone:
+                        p, q = np.minimum(p, q), np.maximum(p, q)
+                    found.append((p, q))
+                    many += len(p)
+                    if many > 1 << 18 or len(found) > 1 << 14:
+                        yield batch()
+                        found, many = [], 0
+        if found:
+            yield batch()
+
+    a = dealt(seen)
+    b = a if alone else dealt(other)
+    least = F.col("k") if alone else F.lit(0).cast("long")
+    left = a.select("k", F.col("held").alias("left"), F.explode(F.sequence(least, F.lit(count - 1).cast("long"))).alias("j"))
+    met = left.join(b.select(F.col("k").alias("j"), F.col("held").alias("right")).hint("merge"), "j")
+    same = (F.col("k") == F.col("j")) & F.lit(alone)
+    tasks = min(count * (count + 1), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return met.select(same.alias("same"), "left", "right").repartition(tasks).mapInArrow(compare, "ha long, hb long")
+
+
 def _held(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, int]:
     """Rows with a hash, the distinct hashes, and their number, which chooses the bands."""
     held = rows.where(F.col("h").isNotNull())
