@@ -41,6 +41,23 @@ def test_marks(spark):
         assert r.marks == plain(texts[r.doc_id]), texts[r.doc_id]
 
 
+def test_tokens_by_ranges_are_those_of_the_negated_class():
+    plain_token = rf"[{W._ALONE}]|[^\s{W._ALONE}]{{1,16}}"
+    edges = [chr(c + d) for c in (9, 13, 32, 133, 0x3000, 0x3040, 0x30FF, 0x3400, 0x9FFF, 0xAC00, 0xD7AF, 0x10FFFE, 0x1F600) for d in (-1, 0, 1)]
+    text = "".join(f"{a}{b}x" for a in edges for b in edges) + "y" * 40
+    assert re.findall(W.TOKEN, text, re.ASCII) == re.findall(plain_token, text, re.ASCII)
+    assert r"\s" not in W.TOKEN
+
+
+def test_marks_of_any_sizes_without_an_array_per_window(spark):
+    texts = [" ".join("abcab"[i * i % 5] * (1 + i % 3) for i in range(n)) for n in range(14)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for k, w in ((4, 6), (1, 1), (3, 5), (5, 2)):
+        found = df.select("doc_id", W.marks(F.col("text"), k, w).alias("m"))
+        assert "array_min" not in found._jdf.queryExecution().toString()
+        assert all(r.m == plain(texts[r.doc_id], k, w) for r in found.collect())
+
+
 def test_rightmost_of_equal_hashes(spark):
     df = spark.createDataFrame([(0, "z " * 30)], "doc_id long, text string")
     [r] = W.fingerprint(df).collect()
