@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from twinscan import settings as S
 from twinscan.functions import hashes, markup, paths
-from twinscan.operators import curate, groups, pairs, peaks
+from twinscan.operators import blocks, curate, groups, pairs, peaks
 from twinscan.operators.components import components
 from twinscan.plans import catalog, jobs
 from twinscan.sources import cache, decoders, ebooks, files, sound
@@ -528,3 +528,48 @@ def test_entry_without_llm(monkeypatch):
     assert found.queries().keys() == catalog.QUERIES.keys() and found.oracle_sql().keys() <= found.queries().keys()
     monkeypatch.undo()
     importlib.reload(__spark_entry__)
+
+
+def plain_hits(files):
+    """Hits of each lower file in each higher one, from (id, f, t) by id."""
+    folded = {}
+    for i, peaks_ in files.items():
+        peaks_ = sorted(peaks_, key=lambda p: (p[1], p[0]))
+        near = [(p, q) for n, p in enumerate(peaks_) for q in peaks_[n + 1 : n + 5] if q[1] - p[1] <= 200]
+        kinds = [(p[0], q[0], q[1] - p[1]) for p, q in near]
+        folded[i] = {k: kinds.count(k) for k in kinds}
+    return {(a, b): h for a in files for b in files if a < b and (h := sum(n for k, n in folded[a].items() if k in folded[b]))}, {i: sum(x.values()) for i, x in folded.items()}
+
+
+@pytest.mark.parametrize("products", [0, 40, 1 << 40])
+def test_products_of_blocks_equal_plain_hits(products):
+    """By adding up alone, by both ways, and by dense products alone; times apart, alike and of repeated ids."""
+    rng = random.Random(3)
+    rows = [(i, [rng.randint(1, 3) ** 2 for _ in range(n)], sorted(rng.randint(0, 150 * n) // 7 for _ in range(n))) for i in range(-9, 16) for n in (rng.randint(0, 30),)]
+    rows += [(4, [1, 4, 1], [0, 1, 2]), (15, [9] * 40, list(range(40)))]
+    files = {i: [p for j, f, t in rows if j == i for p in zip(f, t, strict=True)] for i in {r[0] for r in rows}}
+    want, sizes = plain_hits(files)
+    a, b = (blocks.block_of(np.array([r[0] for r in part]), [np.array(r[1]) for r in part], [np.array(r[2]) for r in part]) for part in ([r for r in rows if r[0] < 3], [r for r in rows if r[0] >= 3]))
+    assert {int(i): int(n) for x in (a, b) for i, n in zip(x["ids"], x["sizes"], strict=True)} == sizes
+    got = {}
+    for x, y in ((a, a), (a, b), (b, b)):
+        hits = blocks.shared_in(x, y, products)
+        got |= {(int(x["ids"][i]), int(y["ids"][j])): int(hits[i, j]) for i, j in zip(*np.nonzero(hits), strict=True) if x["ids"][i] < y["ids"][j]}
+    assert got == want and want
+
+
+def test_peak_queries_join_no_rows_per_shared_hash(spark, tiny):
+    """A hash of many files must not be a row for each pair of them; odd rows, several blocks."""
+    rows = [(i, [7] * 12, None) for i in range(300)] + [(None, [7] * 12, None), (400, None, None), (401, [], None), (402, [7], None), (403, [7, 8], [0, 201])]
+    df = spark.createDataFrame(rows, "id long, f array<int>, t array<int>")
+    got = blocks.audio_pairs(df, 2, files=64)
+    assert got.count() == got.distinct().count() == 300 * 299 // 2
+    assert {tuple(r) for r in got.select("hits", "need").distinct().collect()} == {(38, 30)}
+    [r] = blocks.peak_hits(df, files=64).where("id = 10").collect()
+    assert tuple(r) == (10, 289, 289 * 38, 38)
+    assert not blocks.audio_pairs(df.where("id is null"), 2).collect()
+    for name in ("audio_pairs", "audio_pairs_ratio", "audio_in_video_union", "peak_hits"):
+        plan = catalog.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert "hash" not in plan.replace("hashpartitioning", "").replace("Hash", "")
+    with pytest.raises(ValueError, match="distance"):
+        blocks.audio_pairs(df, 10)

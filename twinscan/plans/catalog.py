@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes as H
 from ..functions import markup, paths
-from ..operators import curate, groups, pairs, peaks
+from ..operators import blocks, curate, groups, pairs, peaks
 from ..operators.components import components
 from ..settings import AREA_MASKS, Settings
 from ..sources import cache
@@ -207,6 +207,12 @@ def _folded(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return peaks.fold(_hashes_of(docs, key)).withColumn("ord", F.col("id"))
 
 
+def _peak_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``id, f, t`` of documents: peaks as an array, at 0, 1, 2... (t null)."""
+    f = F.transform(F.split("text", " ", -1), lambda w: (F.ascii(w) * 100 + F.length(w)).cast("int"))
+    return docs.select(F.col(key).alias("id"), f.alias("f"), F.lit(None).cast("array<int>").alias("t"))
+
+
 @query(f"WITH {_PEAKS} SELECT id, count(*) AS n, CAST(sum(f) AS BIGINT) AS sum_f, max(t) AS last_t, CAST(sum(f * (t % 97)) AS BIGINT) AS check_ft FROM peaks GROUP BY id")
 def peak_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of every document, summed up per document."""
@@ -224,8 +230,7 @@ def constellation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FOLDED}, {_HITS} SELECT id_a AS id, count(*) AS partners, CAST(sum(hits) AS BIGINT) AS hits, max(hits) AS most FROM hits GROUP BY id_a")
 def peak_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared peaks of all pairs, summed up per lower document."""
-    hits = peaks.shared_peaks(materialize(_folded(_read(spark, sf_dir, "documents")), "folded"))
-    return hits.groupBy(F.col("id_a").alias("id")).agg(F.count(F.lit(1)).alias("partners"), F.sum("hits").alias("hits"), F.max("hits").alias("most"))
+    return blocks.peak_hits(_peak_rows(_read(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {_FOLDED}, p AS (SELECT id, size, lead(size) OVER (ORDER BY id) AS next_size FROM sizes) SELECT id, size, next_size, CAST(greatest(1, least(size, next_size) * 80 // 100) AS BIGINT) AS need FROM p WHERE next_size IS NOT NULL")
@@ -240,13 +245,16 @@ def peak_need(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FOLDED}, {_HITS}, {_FOUND} SELECT * FROM found")
 def audio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: documents that share enough of their peaks."""
-    return peaks.audio_pairs(materialize(_folded(_read(spark, sf_dir, "documents")), "folded"), 2)
+    return blocks.audio_pairs(_peak_rows(_read(spark, sf_dir, "documents")), 2)
 
 
 @query(f"WITH {_FOLDED}, {_HITS}, {_FOUND}, {_LENGTHS} SELECT f.* FROM found f JOIN lengths a ON a.id = id_a JOIN lengths b ON b.id = id_b WHERE least(a.length, b.length) * 2 >= greatest(a.length, b.length)")
 def audio_pairs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, with durations at most twice each other."""
-    return peaks.audio_pairs(materialize(_folded(_read(spark, sf_dir, "documents")), "folded"), 2, _lengths(spark, sf_dir), ratio_mode=1)
+    found = materialize(blocks.audio_pairs(_peak_rows(_read(spark, sf_dir, "documents")), 2), "audio-pairs")
+    a, b = (_lengths(spark, sf_dir).select(F.col("id").alias(f"id_{x}"), F.col("length").alias(f"length_{x}")) for x in "ab")
+    near = found.join(a, "id_a").join(b, "id_b").where(peaks.ratio_allows(F.col("length_a"), F.col("length_b"), 1))
+    return near.select("id_a", "id_b", "hits", "need")
 
 
 @query(f"""WITH both_(doc_id, text) AS (SELECT doc_id, text FROM documents UNION ALL SELECT item_id + 1000000000, text FROM benchmark),
@@ -255,7 +263,7 @@ def audio_in_video_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sound of a second corpus joined in: documents and benchmark items together."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     items = _read(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000000000).alias("doc_id"), "text")
-    return peaks.audio_pairs(materialize(_folded(docs.unionByName(items)), "folded"), 2)
+    return blocks.audio_pairs(_peak_rows(docs.unionByName(items)), 2)
 
 
 # ---------------------------------------------------------------- groups
