@@ -592,3 +592,14 @@ def test_equal_files_meet_once_whatever_their_ids(spark, monkeypatch):
     of = {i: [h for (a, _), h in want.items() if a == i] for i in files}
     got = sorted(tuple(r) for r in blocks.peak_hits(df, files=8).collect())
     assert got == sorted((i, len(h), sum(h), max(h)) for i, h in of.items() if h)
+
+
+def test_durations_are_compared_before_pairs_are_listed(spark, tmp_path):
+    """Pairs too far apart by duration are not written to a table first; an id's several durations all count."""
+    rows = [(i, [7] * 12, None, x) for i, x in enumerate((5.0, 10.0, 20.0, 20.0, None))] + [(5, [7] * 6, None, 10.0), (5, None, None, 40.0)]
+    df = spark.createDataFrame(rows, "id long, f array<int>, t array<int>, length double")
+    got = sorted((r.id_a, r.id_b) for r in blocks.audio_pairs(df, 2, ratio_mode=1).collect())
+    assert got == [(0, 1), (0, 5), (1, 2), (1, 3), (1, 5), (2, 3), (2, 5), (2, 5), (3, 5), (3, 5)]
+    spark.createDataFrame([(i, "a b c d", 8 + i) for i in range(30)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["audio_pairs_ratio"](spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString().replace("CartesianProduct", "").replace("BroadcastNestedLoopJoin", "") and found.count() > 0

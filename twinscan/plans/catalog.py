@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashes as H
@@ -207,10 +207,10 @@ def _folded(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return peaks.fold(_hashes_of(docs, key)).withColumn("ord", F.col("id"))
 
 
-def _peak_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``id, f, t`` of documents: peaks as an array, at 0, 1, 2... (t null)."""
+def _peak_rows(docs: DataFrame, length: Column | None = None) -> DataFrame:
+    """``id, f, t`` of documents: peaks as an array, at 0, 1, 2... (t null). With a length, that too."""
     f = F.transform(F.split("text", " ", -1), lambda w: (F.ascii(w) * 100 + F.length(w)).cast("int"))
-    return docs.select(F.col(key).alias("id"), f.alias("f"), F.lit(None).cast("array<int>").alias("t"))
+    return docs.select(F.col("doc_id").alias("id"), f.alias("f"), F.lit(None).cast("array<int>").alias("t"), *([] if length is None else [length.alias("length")]))
 
 
 @query(f"WITH {_PEAKS} SELECT id, count(*) AS n, CAST(sum(f) AS BIGINT) AS sum_f, max(t) AS last_t, CAST(sum(f * (t % 97)) AS BIGINT) AS check_ft FROM peaks GROUP BY id")
@@ -251,10 +251,8 @@ def audio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FOLDED}, {_HITS}, {_FOUND}, {_LENGTHS} SELECT f.* FROM found f JOIN lengths a ON a.id = id_a JOIN lengths b ON b.id = id_b WHERE least(a.length, b.length) * 2 >= greatest(a.length, b.length)")
 def audio_pairs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, with durations at most twice each other."""
-    found = materialize(blocks.audio_pairs(_peak_rows(_read(spark, sf_dir, "documents")), 2), "audio-pairs")
-    a, b = (_lengths(spark, sf_dir).select(F.col("id").alias(f"id_{x}"), F.col("length").alias(f"length_{x}")) for x in "ab")
-    near = found.join(a, "id_a").join(b, "id_b").where(peaks.ratio_allows(F.col("length_a"), F.col("length_b"), 1))
-    return near.select("id_a", "id_b", "hits", "need")
+    docs = _read(spark, sf_dir, "documents")
+    return blocks.audio_pairs(_peak_rows(docs, F.col("n_chars").cast("double")), 2, ratio_mode=1)
 
 
 @query(f"""WITH both_(doc_id, text) AS (SELECT doc_id, text FROM documents UNION ALL SELECT item_id + 1000000000, text FROM benchmark),
