@@ -603,3 +603,15 @@ def test_durations_are_compared_before_pairs_are_listed(spark, tmp_path):
     spark.createDataFrame([(i, "a b c d", 8 + i) for i in range(30)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     found = catalog.QUERIES["audio_pairs_ratio"](spark, str(tmp_path))
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString().replace("CartesianProduct", "").replace("BroadcastNestedLoopJoin", "") and found.count() > 0
+
+
+def test_benchmark_items_fold_with_equal_documents(spark, tmp_path, monkeypatch):
+    """Of a text in both corpora one file meets the others, and all pairs of its ids are found."""
+    spark.createDataFrame([(i, "a bb ccc dd e") for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "a bb ccc dd e") for i in range(5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held, build = [], blocks._blocks
+    monkeypatch.setattr(blocks, "_blocks", lambda *a: held.append(build(*a)) or held[-1])
+    found = {(r.id_a, r.id_b) for r in catalog.QUERIES["audio_in_video_union"](spark, str(tmp_path)).collect()}
+    ids = [*range(20), *range(1000000000, 1000000005)]
+    assert found == {(a, b) for a in ids for b in ids if a < b}
+    assert [len(r.sizes) // 8 for r in held[0].collect()] == [1]
